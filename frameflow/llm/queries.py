@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, token_files
+
+
+def word_bpe() -> str:
+    """The tokenizer file that the encoding queries take."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = token_files.write(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
+    return token_files.digests(spark, folder)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op6_token_files, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
