@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, token_files
 
 
 def word_bpe() -> str:
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = token_files.write(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
     return token_files.digests(spark, folder)
@@ -31,7 +35,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_token_files, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_decontaminate, op6_token_files, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
