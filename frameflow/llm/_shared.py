@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries a worker's memo of word hashes may hold; beyond it the memo starts anew (results do not change).
 MEMO = 400_000
@@ -73,3 +74,37 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(1, n):
         out = mixed(out) + h[i : len(h) - n + 1 + i]
     return mixed(out)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): each node of the edges (columns a, b) with the smallest node that it is connected to.
+
+    Alternating large-star and small-star rounds (the MapReduce form of union-find): every edge moves towards the smallest node known, until
+    nothing changes. Only DataFrame operations; minima are combined before each shuffle, so a node of any degree sends a row per task, and
+    a hot node's join is split by AQE. Each round is written to the shared folder.
+    """
+    spark = edges.sparkSession
+    edge = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).alias("e")
+    now, state, path = edges.where("a <> b").select(edge).select("e.*").distinct(), None, None
+    while True:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = moved.union(lowest.select("a", "m")).distinct()
+        after.write.parquet(fresh := new_path(spark, "stars"))
+        if path:
+            remove(spark, path)
+        path, now = fresh, spark.read.schema(after.schema).parquet(fresh)
+        before, state = state, now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, token_files
+from . import bpe, decontaminate, exact_dedup, jaccard_join, token_files
 
 
 def word_bpe() -> str:
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_decontaminate, op6_token_files, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
