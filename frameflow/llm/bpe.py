@@ -32,6 +32,14 @@ _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r a-zß-öø-ÿ0-9]+").findall
 
 
+def plain_pieces(chunk: str) -> list[str] | None:
+    """The lower-cased pieces of a chunk of ASCII and Latin-1 letters; None for any other."""
+    if not _PLAIN(chunk):
+        return None
+    low = chunk.lower()
+    return [low] if low.isalpha() else _PLAIN_PIECES(low)
+
+
 class PairIndexBpe:
     """Encoder and decoder for a tokenizer file whose model is BPE over byte symbols with an end-of-word suffix."""
 
@@ -135,9 +143,9 @@ class PairIndexBpe:
         return [ids[i:j] for i, j in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
     def _pieces(self, chunk: str) -> list[bytes]:
-        if _PLAIN(chunk):
-            low = chunk.lower()
-            return [low.encode()] if low.isalpha() else [x.encode() for x in _PLAIN_PIECES(low)]
+        pieces = plain_pieces(chunk)
+        if pieces is not None:
+            return [x.encode() for x in pieces]
         return [bytes(map(self._byte.__getitem__, piece)) for piece, _ in self._split(self._normalize(chunk))]
 
     def _spelled(self, chunk: str) -> list[bytes | int]:

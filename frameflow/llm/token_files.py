@@ -12,6 +12,7 @@ first and is read back as null; repeated ids stay, next to each other. An empty
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -37,12 +38,16 @@ def bits_needed(vocabulary: int) -> int:
 
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
-    """Fixed-width packing, lowest bit first."""
+    """Fixed-width packing, lowest bit first. Widths of 16 and 32 bits need no shuffling of bits: the layout is that of the integers."""
+    if bits in (16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
     return np.packbits(planes.astype(np.uint8), axis=None, bitorder="little").tobytes()
 
 
 def unpacked(data, bits: int, n: int) -> np.ndarray:
+    if bits in (16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint32)
     planes = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     return planes @ (np.uint32(1) << np.arange(bits, dtype=np.uint32)) if n else np.empty(0, np.uint32)
 
@@ -83,27 +88,62 @@ class TokenFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-_LIBRARY: dict = {}
+class LibraryEncoder:
+    """Ids by the tokenizers library, each distinct chunk between spaces or line feeds encoded once and remembered.
 
+    Chunks that bpe.plain_pieces can split are encoded piece by piece, many pieces to a call: a piece's last token, and no other, bears the
+    end-of-word suffix. Other chunks are encoded whole.
+    """
 
-def library_encode(path: str, texts: list[str]) -> list[bytes]:
-    """Ids by the tokenizers library, each distinct chunk between spaces or line feeds encoded once and remembered."""
-    if path not in _LIBRARY:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _LIBRARY[path] = tokenizer, {}
-    tokenizer, memo = _LIBRARY[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.split = bpe.plain_pieces if suffix else lambda chunk: None
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(marks)).search if marks else lambda chunk: None
+        self.memo: dict[str, bytes] = {}
+
+    def learn(self, chunks) -> None:
+        whole, split = [], {}
+        for chunk in chunks:
+            pieces = self.split(chunk)
+            if pieces is None or self.marked(chunk):
+                whole.append(chunk)
+            else:
+                split[chunk] = pieces
+        pieces = list({p for ps in split.values() for p in ps})
+        of = {}
+        for i in range(0, len(pieces), 5000):
+            some = pieces[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(some):
+                raise ValueError("the tokenizer splits otherwise than plain_pieces does")
+            raw = ids.tobytes()
+            of.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *cut], cut)], strict=True))
+        for chunk, ps in split.items():
+            self.memo[chunk] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
+        for chunk, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
+
+
+_LIBRARY: dict[str, LibraryEncoder] = {}
 
-    def learn(chunks):
-        chunks = list(chunks)
-        for chunk, e in zip(chunks, tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(e.ids, "<u4").tobytes()
 
-    return bpe.encode_by_chunk(texts, memo, learn, bpe.MEMO)
+def library_encode(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit integers."""
+    if path not in _LIBRARY:
+        _LIBRARY[path] = LibraryEncoder(path)
+    return bpe.encode_by_chunk(texts, _LIBRARY[path].memo, _LIBRARY[path].learn, bpe.MEMO)
 
 
 def vocabulary_size(path: str) -> int:
