@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, token_files
+from . import bpe, decontaminate, exact_dedup, jaccard_join, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -35,11 +35,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op7_toxicity, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
