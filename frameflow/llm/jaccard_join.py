@@ -143,7 +143,8 @@ def _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles)
     blocks = chosen.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
     texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     placed = chosen.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), "blocks"))
-    members = written(placed.join(texts, "rep"), "jaccard-members")
+    # Merged at every size: members may be few enough to broadcast in a small corpus, but they grow with it.
+    members = written(placed.hint("merge").join(texts.hint("merge"), "rep"), "jaccard-members")
     released(df.sparkSession)
     # A large cluster's members that share most signatures, the likely centres of its copies, are put before each of its blocks.
     best = Window.partitionBy("cluster").orderBy(F.desc("score"), "key")
