@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Writes a file from a task: under a name of this attempt, then renamed, so a lost or repeated task leaves no half file."""
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at, recursive=True)
+    own = f"{at}/.{name}.{os.urandom(8).hex()}"
+    with store.open_output_stream(own) as out:
+        out.write(data)
+    store.move(own, f"{at}/{name}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ours, in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

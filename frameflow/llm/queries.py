@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, suffix_tree_lm, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, suffix_tree_lm, token_files, toxicity, warc
 
 
 def word_bpe() -> str:
@@ -41,6 +41,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -49,7 +54,7 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op7_toxicity, op9_exact_dedup, op10_suffix_tree_lm)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op7_toxicity, op8_warc, op9_exact_dedup, op10_suffix_tree_lm)}
 
 SQL = {
     "op9_exact_dedup": """

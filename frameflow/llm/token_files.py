@@ -17,13 +17,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._shared import new_path
+from ._shared import new_path, put_file
 
 MAGIC = 0x314B504B4F54
 #: Ids in a block, and in a file before the next one begins (a document is never split, so a longer one has a file of its own).
@@ -152,16 +151,6 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Writes under a name of this attempt, then renames: a lost or repeated task leaves no half file."""
-    store, at = fs.FileSystem.from_uri(folder)
-    store.create_dir(at, recursive=True)
-    own = f"{at}/.{name}.{os.urandom(8).hex()}"
-    with store.open_output_stream(own) as out:
-        out.write(data)
-    store.move(own, f"{at}/{name}")
-
-
 def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Encodes every text, appends end_id, and writes files in ascending id order. Returns the folder and its index.
 
@@ -182,7 +171,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
         def flush():
             name = f"{part:08d}-{file:06d}.tok"
             docs, ids = np.array([i for i, _ in held], np.int64), [x for _, x in held]
-            _put(folder, name, file_bytes(docs, np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4"), bits))
+            put_file(folder, name, file_bytes(docs, np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4"), bits))
             return pa.RecordBatch.from_pylist([{"part": part, "file": file, "name": name, "n_docs": len(held), "n_ids": n_held}], schema)
 
         for slice_, texts in bpe.text_batches(batches, 1):
