@@ -1,19 +1,62 @@
-"""The corpus pipeline: STAGES in order, each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: STAGES in order, each a function of (spark, docs, sf_dir) that returns the documents that stay.
+
+Stages pass rows on whole: a document's own columns ride along in one struct, so a column of any name does no harm. Null texts count as
+empty in every stage and stay null. Rows with a null doc_id are judged by their text; the n-gram Jaccard join links them with nothing. An empty
+table passes through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frameflow.llm import exact_dedup
+from frameflow.llm import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
 from frameflow.llm._shared import written
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labels table calls toxic go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_with_row(docs), model, carry=["_row"]).where("predicted = 0").select("_row.*")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the smallest doc_id stays."""
     return exact_dedup.unique_rows(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 or more of their five-word shingles, directly or through others, the one with the smallest doc_id stays."""
+    found = jaccard_join.linked_components(docs, n=5, num=80, den=100)
+    first = found.where("doc_id = component_id").select("doc_id")
+    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more are windows of benchmark items go."""
+    found = decontaminate.contamination(_with_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["_row"])
+    return found.where("NOT contaminated").select("_row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of what is left: doc_id, n_tokens, ids."""
+    import public_tokenizers
+
+    ids = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding", encode),
+]
 
 #: The toxicity stage is a learned model, which SQL cannot express.
 ORACLE_SQL = None

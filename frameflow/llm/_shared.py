@@ -33,11 +33,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/frameflow/{name}-{uuid.uuid4().hex}"
 
 
+def save(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; the shuffle files of this one job are removed after it, as nothing can read them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with its path, for a table that is removed when it has served."""
+    save(df, path := new_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def put_file(folder: str, name: str, data: bytes) -> None:
@@ -88,14 +103,6 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the edges (columns a, b) with the smallest node that it is connected to.
 
@@ -113,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = moved.union(lowest.select("a", "m")).distinct()
-        after.write.parquet(fresh := new_path(spark, "stars"))
+        save(after, fresh := new_path(spark, "stars"))
         if path:
             remove(spark, path)
         path, now = fresh, spark.read.schema(after.schema).parquet(fresh)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, components, gram_hashes, mixed, released, remove, written
+from ._shared import WordHashes, components, gram_hashes, mixed, remove, written, written_at
 from .bpe import text_batches
 
 #: Shingles in a block of a cluster, and members that every block meets first.
@@ -110,10 +110,11 @@ def set_key(features: np.ndarray) -> bytes:
 def linked_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links of similarity num / den or more)."""
-    sets = written(_sets(df, id_col, text_col, n, num, den), "jaccard-sets")
+    signed, path = written_at(_sets(df, id_col, text_col, n, num, den), "jaccard-sets")
+    groups = _shared_signatures(signed)
+    sets = written(signed.drop("sigs"), "jaccard-keys")
+    remove(df.sparkSession, path)
     classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    groups = _shared_signatures(sets)
-    released(df.sparkSession)
     labels = _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles)
     labelled = classes.join(labels, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
     found = sets.select("id", "n", "key").where("key IS NOT NULL").join(labelled, "key").select("id", "n", "component")
@@ -145,7 +146,6 @@ def _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles)
     placed = chosen.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), "blocks"))
     # Merged at every size: members may be few enough to broadcast in a small corpus, but they grow with it.
     members = written(placed.hint("merge").join(texts.hint("merge"), "rep"), "jaccard-members")
-    released(df.sparkSession)
     # A large cluster's members that share most signatures, the likely centres of its copies, are put before each of its blocks.
     best = Window.partitionBy("cluster").orderBy(F.desc("score"), "key")
     centres = chosen.join(blocks.where("blocks > 1"), "cluster").withColumn("r", F.row_number().over(best)).where(F.col("r") <= CENTRES).select("key")

@@ -21,7 +21,7 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, mixed, released, written
+from ._shared import WordHashes, written
 from .bpe import text_batches
 
 #: Least share of training tokens of a context and of a symbol of its own; least divergence (nats for each occurrence) of a retained context.
@@ -236,7 +236,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     words = _each(cut, lambda b: (b.words, b.word_counts().astype(np.int64)), ["w", "c"])
     counts = written(words.groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     model, sums = grow(cut, counts, context_share, symbol_share, divergence)
-    released(df.sparkSession)
     known = words.select("block", "w").join(counts.where("c > 0"), "w").select("block", F.lit(0).alias("kind"), F.col("w").alias("key"), "c")
     moves = _each(cut, _transitions(model), ["key", "own"]).join(sums, "key").select("block", F.lit(1).alias("kind"), "key", "c")
     shared = df.sparkSession.sparkContext.broadcast(model)
