@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are split at once in a worker, and entries of its memo of chunks; both bound memory, neither changes results.
-BATCH_CHARS, MEMO = 4_000_000, 500_000
+BATCH_CHARS, MEMO = 2_000_000, 400_000
 
 # The tokenizer's own split, for chunks of ASCII and Latin-1 letters (none of which composes with another, and of which each has one
 # lower case); every other chunk is normalised and split by the library's components.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
-_PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r a-zß-öø-ÿ0-9]+").findall
+_PLAIN_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\x0b\x0c\r a-zß-öø-ÿ0-9]+").findall
 
 
 def plain_pieces(chunk: str) -> list[str] | None:
@@ -67,6 +67,7 @@ class PairIndexBpe:
         self.left, self.right = left, right
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marked = self._special.search if self._special else lambda text: None
         whole = Tokenizer.from_file(path)
         self._normalize, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         byte_char = _byte_characters()
@@ -150,7 +151,7 @@ class PairIndexBpe:
 
     def _spelled(self, chunk: str) -> list[bytes | int]:
         """Its pieces, and the ids of special tokens in it."""
-        if not self._special or not self._special.search(chunk):
+        if not self.marked(chunk):
             return self._pieces(chunk)
         return [x for part in self._special.split(chunk) for x in ([self.special[part]] if part in self.special else self._pieces(part))]
 
@@ -165,25 +166,28 @@ class PairIndexBpe:
             self.memo[chunk] = ids[xs[0]] if len(xs) == 1 else b"".join([ids[x] for x in xs])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Chunks at spaces and line feeds are encoded apart: the tokenizer never joins across white space."""
-        return encode_by_chunk(texts, self.memo, self.learn, MEMO)
+        """Ids of each text. Its units are encoded apart: the tokenizer never joins across white space or pieces."""
+        return encode_by_unit(texts, self.memo, self.learn, self.marked, MEMO)
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode without a decoder: token strings joined by spaces, special ones included."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_by_chunk(texts: list[str], memo: dict[str, bytes], learn, most: int) -> list[bytes]:
-    """The ids of each text, put together from those of its chunks; learn(chunks) adds what the memo lacks."""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+def encode_by_unit(texts: list[str], memo: dict[str, bytes], learn, marked, most: int) -> list[bytes]:
+    """The ids of each text, put together from those of its units; learn(units) adds what the memo lacks.
+
+    The units of a text of ASCII and Latin-1 letters are its lower-cased pieces; of another, or one with special tokens, its chunks.
+    """
+    split = [_PLAIN_PIECES(t.lower()) if _PLAIN(t) and not marked(t) else t.replace("\n", " ").split(" ") for t in texts]
     wanted = set().union(*split)
     lacking = wanted - memo.keys()
     if len(memo) + len(lacking) > most:
-        kept = {chunk: memo[chunk] for chunk in wanted - lacking}
+        kept = {unit: memo[unit] for unit in wanted - lacking}
         memo.clear()
         memo.update(kept)
     learn(lacking)
-    return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+    return [b"".join(map(memo.__getitem__, units)) for units in split]
 
 
 def _byte_characters() -> list[str]:

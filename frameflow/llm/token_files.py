@@ -26,7 +26,7 @@ from ._shared import new_path, put_file
 
 MAGIC = 0x314B504B4F54
 #: Ids in a block, and in a file before the next one begins (a document is never split, so a longer one has a file of its own).
-BLOCK, FILE_IDS = 4096, 4_000_000
+BLOCK, FILE_IDS = 4096, 2_000_000
 #: Bytes of text that go into one task, and so about into one or two files.
 TASK_BYTES = 16_000_000
 NO_ID = -(2**63)
@@ -96,7 +96,7 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -107,6 +107,10 @@ class LibraryEncoder:
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.split = bpe.plain_pieces if suffix else lambda chunk: None
+        # Plain pieces are normalised and split already: the same model without those steps gives the same ids.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marked = re.compile("|".join(marks)).search if marks else lambda chunk: None
         self.memo: dict[str, bytes] = {}
@@ -123,7 +127,7 @@ class LibraryEncoder:
         of = {}
         for i in range(0, len(pieces), 5000):
             some = pieces[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cut) != len(some):
                 raise ValueError("the tokenizer splits otherwise than plain_pieces does")
@@ -142,7 +146,8 @@ def library_encode(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers."""
     if path not in _LIBRARY:
         _LIBRARY[path] = LibraryEncoder(path)
-    return bpe.encode_by_chunk(texts, _LIBRARY[path].memo, _LIBRARY[path].learn, bpe.MEMO)
+    known = _LIBRARY[path]
+    return bpe.encode_by_unit(texts, known.memo, known.learn, known.marked, bpe.MEMO)
 
 
 def vocabulary_size(path: str) -> int:
