@@ -181,7 +181,7 @@ def encode_by_unit(texts: list[str], memo: dict[str, bytes], learn, marked, most
     """
     split = [_PLAIN_PIECES(t.lower()) if _PLAIN(t) and not marked(t) else t.replace("\n", " ").split(" ") for t in texts]
     wanted = set().union(*split)
-    lacking = wanted - memo.keys()
+    lacking = {unit for unit in wanted if unit not in memo}
     if len(memo) + len(lacking) > most:
         kept = {unit: memo[unit] for unit in wanted - lacking}
         memo.clear()

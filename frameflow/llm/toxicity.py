@@ -95,13 +95,16 @@ class Lexicon:
         """Logarithms of: exact hits, misspelled hits, both again in quotes, exact hits per 100 words, most hits in one window."""
         chunks = text.split()
         memo = self.memo
-        lacking = set(chunks) - memo.keys()
-        if len(memo) + len(lacking) > MEMO:
+        distinct = set(chunks)
+        if len(memo) + len(distinct) > MEMO:
             memo.clear()
-            lacking = set(chunks)
-        for chunk in lacking:
-            memo[chunk] = self.distance(chunk)
-        hits = [i for i, chunk in enumerate(chunks) if memo[chunk] is not None]
+        hit = set()
+        for chunk in distinct:
+            if chunk not in memo:
+                memo[chunk] = self.distance(chunk)
+            if memo[chunk] is not None:
+                hit.add(chunk)
+        hits = [i for i, chunk in enumerate(chunks) if chunk in hit] if hit else []
         if not hits:
             return [0.0] * 6
         counts = [0, 0, 0, 0]
