@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyspark
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from .bpe import text_batches
 #: Least share of training tokens of a context and of a symbol of its own; least divergence (nats for each occurrence) of a retained context.
 CONTEXT_SHARE, SYMBOL_SHARE, DIVERGENCE = 2e-4, 1e-5, 0.02
 #: Absolute discount; tokens in a block (a longer document is a block of its own).
-DISCOUNT, BLOCK_TOKENS = 0.75, 1_000_000
+DISCOUNT, BLOCK_TOKENS = 0.75, 2_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MEMO = WordHashes()
@@ -44,17 +45,27 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Indices byte plane by byte plane, compressed; frequent words have small indices, so the upper planes nearly vanish."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
+
+
 class Block:
-    """Tokens of some documents as indices into their sorted distinct words."""
+    """Tokens of some documents as indices into their distinct words, the most frequent first."""
 
     def __init__(self, words: bytes, at: bytes, lengths, held):
         self.words = np.frombuffer(words, np.uint64)
-        self.at = np.frombuffer(at, np.int32)
+        self.at = unpacked(at)
         self.lengths = np.array(lengths, np.int64)
         self.held = np.array(held, bool)
         self.trained = np.repeat(~self.held, self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.at)) - np.repeat(starts, self.lengths)  # place of a token in its document
+        self.place = (np.arange(len(self.at)) - np.repeat(starts, self.lengths)).astype(np.int32)  # place of a token in its document
 
     def word_counts(self) -> np.ndarray:
         """Training tokens of each word."""
@@ -115,8 +126,11 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=N
         part, k, docs, size = pyspark.TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            words, at = np.unique(np.concatenate([h for _, _, h in docs]), return_inverse=True)
-            row = {"block": part << 32 | k, "words": words.tobytes(), "at": at.astype(np.int32).tobytes(), "ids": [i for i, _, _ in docs], "held": [x for _, x, _ in docs], "lengths": [len(h) for _, _, h in docs]}
+            words, at, n = np.unique(np.concatenate([h for _, _, h in docs]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            row = {"block": part << 32 | k, "words": words[order].tobytes(), "at": packed(rank[at]), "ids": [i for i, _, _ in docs], "held": [x for _, x, _ in docs], "lengths": [len(h) for _, _, h in docs]}
             return pa.RecordBatch.from_pydict({n: pa.array([x], t) for (n, x), t in zip(row.items(), (pa.int64(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)})
 
         for batch, texts in text_batches(batches, 1):
@@ -205,7 +219,8 @@ def grow(held: DataFrame, counts: DataFrame, context_share: float = CONTEXT_SHAR
 def _scores(b: Block, model: Tree, words: np.ndarray, word_counts: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, discount: float):
     """Of each document: known tokens, base score and score."""
     count = np.zeros(len(b.words), np.int64)
-    count[np.searchsorted(b.words, words)] = word_counts
+    by_hash = np.argsort(b.words)
+    count[by_hash[np.searchsorted(b.words, words, sorter=by_hash)]] = word_counts
     base = (count + 1) / (model.n + model.v + 1)
     symbol_of_word = model.symbol_of(b.words)
     share = np.where(symbol_of_word < len(model.symbols), 1.0, base / model.root[-1])
@@ -236,16 +251,19 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     words = _each(cut, lambda b: (b.words, b.word_counts().astype(np.int64)), ["w", "c"])
     counts = written(words.groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     model, sums = grow(cut, counts, context_share, symbol_share, divergence)
-    known = words.select("block", "w").join(counts.where("c > 0"), "w").select("block", F.lit(0).alias("kind"), F.col("w").alias("key"), "c")
-    moves = _each(cut, _transitions(model), ["key", "own"]).join(sums, "key").select("block", F.lit(1).alias("kind"), "key", "c")
+    known = words.select("block", "w").join(counts.where("c > 0"), "w").select("block", F.col("w").alias("key"), "c")
+    # Counts of transitions bear a minus sign, to tell them from those of words.
+    nodes = df.sparkSession.createDataFrame([(s,) for s in model.retained], "s long")  # at most 2 / context_share
+    useful = sums.join(F.broadcast(nodes), F.expr(f"key div {len(model.symbols) + 1}") == F.col("s"), "left_semi")
+    moves = _each(cut, _transitions(model), ["key", "own"]).join(useful, "key").select("block", "key", (-F.col("c")).alias("c"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
         row = {c: block.column(c)[0].as_py() for c in ("words", "at", "lengths", "held", "ids")}
         b = Block(row["words"], row["at"], row["lengths"], row["held"])
-        kinds, key, c = (part.column(x).to_numpy() for x in ("kind", "key", "c"))
-        word, move, m = kinds == 0, kinds == 1, shared.value
-        n_known, base, own = _scores(b, m, key[word].view(np.uint64), c[word], key[move], c[move], discount)
+        key, c = (part.column(x).to_numpy() for x in ("key", "c"))
+        word, move, m = c > 0, c < 0, shared.value
+        n_known, base, own = _scores(b, m, key[word].view(np.uint64), c[word], key[move], -c[move], discount)
         return pa.table({"id": pa.array(row["ids"], block.schema.field("ids").type.value_type), "held_out": pa.array(row["held"]), "n_tokens": pa.array(b.lengths), "n_known": pa.array(n_known),
                          "train_tokens": pa.array(np.full(len(b.lengths), m.n, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
