@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, suffix_tree_lm, token_files, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, suffix_tree_lm, token_files, toxicity, warc
 
 
 def word_bpe() -> str:
@@ -30,6 +30,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = token_files.write(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
     return token_files.digests(spark, folder)
@@ -54,7 +58,7 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op6_token_files, op7_toxicity, op8_warc, op9_exact_dedup, op10_suffix_tree_lm)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_files, op7_toxicity, op8_warc, op9_exact_dedup, op10_suffix_tree_lm)}
 
 SQL = {
     "op9_exact_dedup": """
