@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, suffix_tree_lm, token_files, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, secrets, suffix_tree_lm, token_files, toxicity, warc
 
 
 def word_bpe() -> str:
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit(secrets.made_up_findings(spark))
+    return secrets.scan(_table(spark, sf_dir, "documents"), model)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), word_bpe())
 
@@ -58,7 +63,7 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_files, op7_toxicity, op8_warc, op9_exact_dedup, op10_suffix_tree_lm)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_jaccard_join, op4_decontaminate, op5_line_dedup, op6_token_files, op7_toxicity, op8_warc, op9_exact_dedup, op10_suffix_tree_lm)}
 
 SQL = {
     "op9_exact_dedup": """
