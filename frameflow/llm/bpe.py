@@ -102,7 +102,7 @@ class PairIndexBpe:
         found = np.flatnonzero(first >= 0)
         by_rank = found[np.argsort(first[found], kind="stable")]
         active, starts = np.unique(first[by_rank], return_index=True)
-        for rank, positions in zip(active.tolist(), np.split(by_rank, starts[1:]), strict=True):
+        for rank, positions in zip(active.tolist(), np.split(by_rank, starts[1:]) if len(active) else (), strict=True):
             index[rank] = positions.tolist()
         heap = active.tolist()  # sorted, so already a heap
         while heap:
