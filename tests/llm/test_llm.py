@@ -233,7 +233,7 @@ def test_toxicity(spark, odd, empty):
         words = [rng.choice(plain) for _ in range(40)]
         toxic = i % 5 == 0
         for _ in range(4 if toxic else 0):
-            words[rng.randrange(40)] = rng.choice(["grobian" + rng.choice(["en", "s", "haft", "um"]), "worthless", "disgustng"])
+            words[rng.randrange(40)] = "grobian" + rng.choice(["en", "s", "haft", "um"]) if i % 2 else rng.choice(["worthless", "disgustng"])
         docs.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
