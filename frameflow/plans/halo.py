@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import OWN, Series
 
@@ -40,7 +41,7 @@ def numbered(df: DataFrame, series: Series) -> DataFrame:
     path = f"{shared_folder(df)}/frameflow/sorted-{uuid.uuid4().hex}"
     at = F.monotonically_increasing_id()
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(NUMBER, at).write.parquet(path)
-    rows = spark.read.schema(df.schema.add(NUMBER, "long") if NUMBER not in df.columns else df.schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(NUMBER, T.LongType())])).parquet(path)
     part = F.shiftright(NUMBER, 33)
     counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
     before, offsets = 0, []
