@@ -3,9 +3,13 @@
 A document's set holds the hashes of its distinct n-word shingles (64 bits of each; sets are told apart by 128 bits of all of them). Sets fall
 into bands of size; two similar sets lie in the same or neighbouring bands, so each set takes part in two instances. An instance parts the
 feature domain into n1 x n2 cells such that, of two sets as similar as asked, some first-level part differs in so few features that one of the
-enumerated subsets of its second-level cells is equal; a signature is the hash of such a subset. Equal sets are one class and meet once.
+enumerated subsets of its second-level cells is equal; a signature is the hash of such a subset. Empty subsets, which are equal in sets that have
+nothing in common, are signed only by sets with so many that a partner might share no other. Equal sets are one class and meet once.
 
-Classes that share a signature form clusters (by distributed union-find); inside a cluster the exact similarity decides. A cluster is worked on in
+Classes that share a signature meet as parity sketches: bit i tells whether an odd number of features hash to i, so two sketches differ in at most
+as many bits as the sets do in features, and pairs with more differing bits than similar sets may have are told apart without their texts. No
+similar pair is lost. Signatures of more than SKETCHED classes go on without this test. What passes forms clusters (by distributed union-find);
+inside a cluster the exact similarity decides. A cluster is worked on in
 blocks of bounded size: first every block meets the members that share most signatures, then what is not yet connected meets all blocks.
 No set of pairs is ever written: a task returns at most one link for each member and part.
 
@@ -28,6 +32,8 @@ from .bpe import text_batches
 
 #: Shingles in a block of a cluster, and members that every block meets first.
 BLOCK_SHINGLES, CENTRES = 500_000, 8
+#: Classes of one signature that are compared by their sketches in one task.
+SKETCHED = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MEMO = WordHashes()
@@ -45,15 +51,16 @@ class PartEnum:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.starts = [1]  # smallest size of each band; a partner of a set is in its own or a neighbouring band
-        self.plans: dict[int, tuple[int, list[tuple[int, ...]], int]] = {}
+        self.plans: dict[int, tuple[int, int, list[tuple[int, ...]], int]] = {}
 
     def band(self, size: int) -> int:
         while self.starts[-1] <= size:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    def plan(self, band: int) -> tuple[int, int, list[tuple[int, ...]]]:
-        """First-level parts, second-level parts of each, and the second-level subsets, for sets of this band and the next."""
+    def plan(self, band: int) -> tuple[int, int, list[tuple[int, ...]], int]:
+        """First-level parts, second-level parts of each, the second-level subsets, and in how many parts at least one subset of two similar sets of
+        this band and the next is equal."""
         if band not in self.plans:
             self.band(self.starts[band] * 2)
             low = self.starts[band + 1] - 1
@@ -61,7 +68,8 @@ class PartEnum:
             apart = (self.den - self.num) * (low + high) // (self.den + self.num)  # most features in one set only
             few = 1 if 1 <= apart < 8 else 0
             n1, n2 = -(-(apart + 1) // (few + 1)), 3 if few else 1
-            self.plans[band] = n1, n2, list(combinations(range(n2), n2 - few))
+            n1 += n1 // 12 + 2 if apart else 0  # some parts more than needed, so that those with empty subsets can be done without
+            self.plans[band] = n1, n2, list(combinations(range(n2), n2 - few)), n1 - apart // (few + 1)
         return self.plans[band]
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
@@ -70,43 +78,57 @@ class PartEnum:
         return np.concatenate([self._instance(features, b) for b in ((own - 1, own) if own else (own,))])
 
     def _instance(self, features: np.ndarray, band: int) -> np.ndarray:
-        n1, n2, subsets = self.plan(band)
+        n1, n2, subsets, equal = self.plan(band)
         cell = (mixed(features + np.uint64(band)) >> np.uint64(33)) % np.uint64(n1 * n2)
         spread = mixed(features ^ np.uint64(0xA24BAED4963EE407))
         total = np.zeros(n1 * n2, np.uint64)
         np.add.at(total, cell.astype(np.int64), spread)  # a set's hash: the sum of its members', modulo 2**64
         total = total.reshape(n1, n2)
+        there = np.bincount(cell.astype(np.int64), minlength=n1 * n2).reshape(n1, n2)
+        there = np.stack([there[:, list(s)].any(axis=1) for s in subsets])
+        if np.count_nonzero(~there.all(axis=0)) >= equal:  # all the parts with an equal subset might be among those
+            there[:] = True
         first = np.arange(n1, dtype=np.uint64) * np.uint64(len(subsets))
         out = [mixed(mixed(total[:, list(s)].sum(axis=1, dtype=np.uint64)) + (first + np.uint64(i)) + (np.uint64(band) << np.uint64(40))) for i, s in enumerate(subsets)]
-        return np.concatenate(out)
+        return np.concatenate(out)[there.ravel()]
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, key, sigs): size and 128-bit key of each set, and its signatures where a task sees the set first. key is null for sets that take no part."""
+    """(id, n, key, sketch, sigs): size and 128-bit key of each set, and its sketch and signatures where a task sees the set first. key is null for
+    sets that take no part."""
 
     def run(batches):
         plan, seen = PartEnum(num, den), set()
         for part, texts in text_batches(batches, 1):
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sketches, sigs = [], [], [], []
             for i, t in zip(part.column(0).is_valid().to_pylist(), texts, strict=True):
                 s = shingle_set(t, n)
                 sizes.append(len(s))
                 key = set_key(s) if len(s) and i else None
                 keys.append(key)
-                sigs.append(plan.signatures(s) if key and key not in seen else s[:0])
+                new = key and key not in seen
+                sketches.append(sketch(s) if new else None)
+                sigs.append(plan.signatures(s) if new else s[:0])
                 seen.add(key)
             ends = pa.array(np.cumsum([0, *map(len, sigs)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "key", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), lists], ["id", "n", "key", "sketch", "sigs"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, key binary, sigs array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, key binary, sketch binary, sigs array<long>")
 
 
 def set_key(features: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(features.tobytes())
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """Parity of the features that hash to each of about as many bits (a power of two, 64 at least)."""
+    bits = max(64, 1 << round(np.log2(len(features))))
+    at = np.bincount((features & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
+
+
 def linked_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links of similarity num / den or more)."""
@@ -115,7 +137,7 @@ def linked_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sets = written(signed.drop("sigs"), "jaccard-keys")
     remove(df.sparkSession, path)
     classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    labels = _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles)
+    labels = _labels(df, sets, classes, groups, n, num, den, id_col, text_col, block_shingles)
     labelled = classes.join(labels, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
     found = sets.select("id", "n", "key").where("key IS NOT NULL").join(labelled, "key").select("id", "n", "component")
     alone = sets.where("key IS NULL").select("id", "n", F.col("id").alias("component"))
@@ -133,12 +155,12 @@ def _shared_signatures(sets: DataFrame) -> DataFrame:
     return written(shared.select(F.xxhash64("m", "x", "lo", "hi").alias("g"), "k").distinct(), "jaccard-groups")
 
 
-def _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles) -> DataFrame:
+def _labels(df, sets, classes, groups, n, num, den, id_col, text_col, block_shingles) -> DataFrame:
     """(key, component) of the classes that share signatures with others."""
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("first"))
     beside = groups.join(sizes, "g")
     score = beside.groupBy("k").agg(F.sum("m").alias("score"))
-    clusters = components(beside.select(F.col("k").alias("a"), F.col("first").alias("b")))
+    clusters = components(written(_near(beside, sets, num, den), "jaccard-near"))
     in_cluster = clusters.select(F.col("node").alias("k"), F.col("root").alias("cluster")).join(score, "k")
     chosen = written(classes.withColumn("k", F.xxhash64("key")).join(in_cluster, "k").drop("k"), "jaccard-classes")
     blocks = chosen.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
@@ -160,6 +182,60 @@ def _labels(df, classes, groups, n, num, den, id_col, text_col, block_shingles)
     return named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("key", "component")
 
 
+def _near(beside: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): classes of a signature whose sketches do not rule out that they are similar, as links that join what was apart in it."""
+    own = sets.where("sketch IS NOT NULL").groupBy(F.xxhash64("key").alias("k")).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.first("sketch").alias("sketch"))
+    own = own.select("k", "n", F.when(F.col("n") == F.col("most"), F.col("sketch")).alias("sketch"))  # two classes of one k are not told apart
+    rows = beside.where(F.col("m") <= SKETCHED).select("g", "k").hint("merge").join(own.hint("merge"), "k").select("g", "k", "n", "sketch")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            g = table.column("g").to_numpy()
+            ends = [*(np.flatnonzero(g[1:] != g[:-1]) + 1)]
+            yield from near_links(table.slice(0, ends[-1] if ends else 0), ends, num, den)
+            held = table.slice(ends[-1] if ends else 0)
+        if held is not None:
+            yield from near_links(held, [held.num_rows], num, den)
+
+    near = rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return near.union(beside.where(F.col("m") > SKETCHED).select(F.col("k").alias("a"), F.col("first").alias("b"))).where("a <> b").distinct()
+
+
+def near_links(table: pa.Table, ends: list[int], num: int, den: int):
+    """One batch of links for the rows, whose signatures end at the given places."""
+    k, n, sketches = table.column("k").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist()
+    a, b, start = [], [], 0
+    for end in ends if table.num_rows else []:
+        for i, j in alike(n[start:end], sketches[start:end], num, den):
+            a.append(k[start + i])
+            b.append(k[start + j])
+        start = end
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def alike(sizes: np.ndarray, sketches: list[bytes | None], num: int, den: int) -> list[tuple[int, int]]:
+    """Links among sets whose sizes and sketches allow a similarity of num / den, one for each two parts that they join."""
+    if None in sketches:
+        return [(0, i) for i in range(1, len(sizes))]
+    least = min(map(len, sketches))  # a sketch of more bits folds into one of half as many
+    rows = np.empty((len(sizes), least // 8), np.uint64)
+    for i, s in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, least // 8), axis=0)
+    part, links = np.arange(len(sizes)), []
+    for i in range(len(sizes) - 1):
+        after = np.flatnonzero((part[i + 1 :] != part[i]) & (den * sizes[i + 1 :] >= num * sizes[i]) & (num * sizes[i + 1 :] <= den * sizes[i])) + i + 1
+        if not len(after):
+            continue
+        apart = np.bitwise_count(rows[after] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        for j in after[apart * (num + den) <= (den - num) * (sizes[after] + sizes[i])].tolist():
+            if part[j] != part[i]:
+                links.append((i, j))
+                part[part == part[j]] = part[i]
+    return links
+
+
 def _remaining(members: DataFrame, links: DataFrame, n: int, num: int, den: int, block_shingles: int) -> DataFrame:
     """Links of what the first round left apart from the largest part of its cluster, sought in all blocks of that cluster."""
     roots = components(links)

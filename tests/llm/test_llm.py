@@ -120,6 +120,28 @@ def test_jaccard_join(spark, n, num, den, block):
     assert sorted(map(tuple, found.collect())) == brute_components(docs, n, num, den)
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
+def test_jaccard_signatures_and_sketches_lose_no_pair(num, den):
+    rng, plan, similar = np.random.default_rng(7), jaccard_join.PartEnum(num, den), 0
+    for _ in range(1500):
+        one = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600))).astype(np.uint64))
+        less, more = (int(rng.integers(0, len(one) // 5 + 1)) for _ in range(2))
+        two = np.unique(np.concatenate([rng.permutation(one)[less:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+        common = len(np.intersect1d(one, two))
+        if den * common >= num * (len(one) + len(two) - common):
+            similar += 1
+            assert len(np.intersect1d(plan.signatures(one), plan.signatures(two)))
+            assert jaccard_join.alike(np.array([len(one), len(two)]), [jaccard_join.sketch(one), jaccard_join.sketch(two)], num, den)
+    assert similar > 100
+
+
+def test_jaccard_sketches_tell_apart():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(30)]
+    assert not jaccard_join.alike(np.array(list(map(len, sets))), list(map(jaccard_join.sketch, sets)), 80, 100)
+    assert len(jaccard_join.alike(np.full(5, 400), [None, *map(jaccard_join.sketch, sets[:4])], 80, 100)) == 4
+
+
 def test_jaccard_join_odd(odd, empty):
     found = {(r.doc_id, r.component_id) for r in jaccard_join.linked_components(odd).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (None, None)} == found
