@@ -1,13 +1,15 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Nodes are contexts of one or two words whose share of the training tokens is at least CONTEXT_SHARE (so there are at most 1 / CONTEXT_SHARE of each
-length) and whose next-symbol distribution diverges enough from that of their suffix. Symbols are the words with a share of at least SYMBOL_SHARE (at
-most 1 / SYMBOL_SHARE) and one for all others, inside which a word has its share by the base model. A node's distribution is smoothed by absolute
-discounting towards its suffix's, the root is the base model, so the probabilities of all words, unknown ones together as one, sum to 1. A token is
-scored by the node of the longest retained suffix of the words before it.
+Nodes are contexts of one to DEPTH words that occur LEAST times or more in training documents, however large the corpus, and whose next-symbol
+distribution diverges enough from that of their suffix; the suffixes of a node are nodes. Symbols are the words that occur LEAST times or more and
+one for all others, inside which a word has its share by the base model. A node's distribution is smoothed by absolute discounting towards its
+suffix's, the root is the base model, so the probabilities of all words, unknown ones together as one, sum to 1. A token is scored by the node of the
+longest retained suffix of the words before it.
 
-Texts are turned into blocks of tokens once. All counts come from blocks by combining aggregates; for scoring each block is joined with just
-the counts of its own words and transitions, so no task and no driver holds the whole model.
+Texts are turned into blocks of tokens once. The model is never in one place: words, transitions and contexts have 64-bit keys, dealt by their upper
+bits to parts. Each block sends its own distinct keys with its own figures to the parts, which add them up and write answers that only that block
+reads. Words come first, then transitions level by level (those with enough occurrences are the contexts of the next level), then contexts from the
+deepest level up. No task and no driver holds more than a block or a part; the number of parts grows with the training tokens.
 
 Defined results: a null or empty text is its end token alone; a null id is a training document; repeated rows are counted and scored each; without
 training documents all counts are 0. Other columns are ignored.
@@ -16,22 +18,29 @@ training documents all counts are 0. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, written
+from ._shared import WordHashes, mixed, written
 from .bpe import text_batches
 
-#: Least share of training tokens of a context and of a symbol of its own; least divergence (nats for each occurrence) of a retained context.
-CONTEXT_SHARE, SYMBOL_SHARE, DIVERGENCE = 2e-4, 1e-5, 0.02
+#: Least training occurrences of a context and of a symbol of its own; least divergence (nats for each occurrence) of a retained context.
+LEAST, DIVERGENCE = 10, 0.02
+#: Most words of a context.
+DEPTH = 2
 #: Absolute discount; tokens in a block (a longer document is a block of its own).
 DISCOUNT, BLOCK_TOKENS = 0.75, 2_000_000
+#: Parts of the keys (a power of two): so many at least, and more where a part would hold those of more than so many training tokens.
+PARTS, PART_TOKENS = 512, 8_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MEMO = WordHashes()
+#: The symbol of all words that are no symbols of their own.
+OTHER = np.uint64(0)
 #: The end token: not the hash of any word, as words hash to 64-bit values of which this one is set aside.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
@@ -67,56 +76,128 @@ class Block:
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = (np.arange(len(self.at)) - np.repeat(starts, self.lengths)).astype(np.int32)  # place of a token in its document
 
-    def word_counts(self) -> np.ndarray:
-        """Training tokens of each word."""
-        return np.bincount(self.at[self.trained], minlength=len(self.words))
 
-    def contexts(self, model: Tree) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the numbers of the contexts of one and of two words before it, -1 where the tree has none."""
-        n = len(self.at)
-        word = model.word_of(self.words)[self.at]
-        one, two = np.full(n, -1), np.full(n, -1)
-        one[1:] = np.where(self.place[1:] >= 1, word[:-1], -1)
-        if n > 2 and len(model.pairs):
-            both = (self.place[2:] >= 2) & (word[:-2] >= 0) & (word[1:-1] >= 0)
-            two[2:] = np.where(both, model.pair_of(word[:-2] * len(model.contexts) + word[1:-1]), -1)
-        return one, two
-
-
-class Tree:
-    """Contexts and symbols, all of bounded number; counts of transitions come from the block's own part of the model."""
-
-    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, symbol_counts: np.ndarray, n: int, v: int):
-        order = np.argsort(symbols)
-        self.contexts, self.symbols, self.counts, self.n, self.v = np.sort(contexts), symbols[order], symbol_counts[order], n, v
-        self.pairs = np.empty(0, np.int64)  # sorted: number of the first word * contexts + number of the second
-        self.retained: dict[int, tuple[int, int]] = {}
-        self.root = np.r_[(self.counts + 1) / (n + v + 1), 0]
-        self.root[-1] = max(1 - self.root.sum(), 1e-300)
-
-    def word_of(self, words: np.ndarray) -> np.ndarray:
-        return _find(self.contexts, words)
-
-    def symbol_of(self, words: np.ndarray) -> np.ndarray:
-        found = _find(self.symbols, words)
-        return np.where(found < 0, len(self.symbols), found)
-
-    def pair_of(self, pairs: np.ndarray) -> np.ndarray:
-        """Contexts of two words are numbered after those of one."""
-        found = _find(self.pairs, pairs)
-        return np.where(found < 0, -1, found + len(self.contexts))
-
-    def suffix(self, context: int) -> int:
-        """The context without its first word; -1 is the root."""
-        k = context - len(self.contexts)
-        return -1 if k < 0 else int(self.pairs[k] % len(self.contexts))
-
-
-def _find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return np.where(known[at] == values, at, -1)
+class Level:
+    """Transitions of a block from contexts of some length: of each token in where its context (own number, key, occurrences) and its transition's number."""
+
+    def __init__(self, where: np.ndarray, contexts: np.ndarray, totals: np.ndarray, symbols: np.ndarray):
+        self.where, self.totals = where, totals
+        self.moves, self.keys = pd.factorize(mixed(mixed(contexts) + symbols))
+        self.context, self.contexts = pd.factorize(contexts)
+        self.n = np.zeros(len(self.contexts))  # occurrences of each context
+        self.n[self.context] = totals
+
+
+class View:
+    """What a block knows of the model from the answers so far."""
+
+    def __init__(self, b: Block, answers: dict[int, np.ndarray], root: tuple[int, int, int], least: int, depth: int):
+        self.b, n, (tokens, kinds, symbols) = b, len(b.at), root
+        self.count = answered(b.words, answers[0])[0]  # training tokens of each word
+        self.base = (self.count + 1) / (tokens + kinds + 1)
+        self.own = self.count >= least
+        self.other = max(1 - symbols / (tokens + kinds + 1), 1e-300)
+        symbol = np.where(self.own, b.words, OTHER)[b.at]
+        self.root = np.where(self.own, self.base, self.other)[b.at]
+        self.levels: list[Level] = []
+        keys, totals = np.zeros(n, np.uint64), np.zeros(n)
+        keys[1:], totals[1:] = b.words[b.at[:-1]], self.count[b.at[:-1]]
+        on = (b.place >= 1) & (totals >= least)
+        for d in range(1, depth + 1):
+            where = np.flatnonzero(on)
+            level = Level(where, keys[where], totals[where], symbol[where])
+            self.levels.append(level)
+            none = np.empty((4, 0)) if not len(where) else None  # who asks for nothing gets no answer
+            if d not in answers and none is None:
+                break
+            level.c, level.first = answered(level.keys, answers[d]) if none is None else none[:2]
+            if -d in answers or none is not None:
+                level.kinds, gain, below, _ = answered(level.contexts, answers[-d]) if none is None else none
+                level.gain, level.below = gain / level.n - np.log(level.n), below > 0
+            if d < depth:
+                at = where + 1 < n
+                to, move = where[at] + 1, level.moves[at]
+                keys, totals, on = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
+                keys[to], totals[to] = level.keys[move], level.c[move]
+                on[to] = (b.place[to] > d) & (totals[to] >= least) & (symbol[to - 1] != OTHER)
+
+    def figures(self, d: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context of d words: distinct transitions that are this block's to count, divergence (this block's summands, not yet by
+        occurrences), and whether a longer context that ends in it is retained."""
+        level, trained = self.levels[d - 1], self.b.trained
+        of_move = np.zeros(len(level.keys), np.int64)
+        of_move[level.moves] = level.context
+        m = len(level.contexts)
+        before = self.root
+        if d > 1:
+            up = self.levels[d - 2]
+            before = np.ones(len(self.b.at))
+            before[up.where] = up.c[up.moves] / up.totals
+        on = trained[level.where]
+        gain = np.bincount(level.context[on], np.log(level.c[level.moves[on]] / before[level.where[on]]), m)
+        below = np.zeros(m)
+        if d < len(self.levels):
+            longer = self.levels[d]
+            number = np.full(len(self.b.at), -1)
+            number[level.where] = level.context
+            below[number[longer.where[retained(longer, divergence)[longer.context]]]] = 1
+        return level.contexts, np.stack([np.bincount(of_move[level.first > 0], minlength=m).astype(float), gain, below])
+
+
+def retained(level: Level, divergence: float) -> np.ndarray:
+    return (level.gain >= divergence) | level.below
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane, which the codecs of shuffles and tables then make small."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def values(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def asked(block: int, keys: np.ndarray, figures: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Distinct keys and their figures (a row of floats for each kind), a record for each part."""
+    order = np.argsort(keys)
+    keys, figures = keys[order], figures[:, order]
+    part = (keys >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(part)]
+    k, v = ([f(i, j) for i, j in zip(starts, ends, strict=False)] for f in (lambda i, j: planes(keys[i:j]), lambda i, j: planes(figures[:, i:j].ravel())))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(np.full(len(starts), block)), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["part", "block", "keys", "figures"])
+
+
+def answered(keys: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """The answer, which goes by ascending keys, in the order of the keys."""
+    out = np.empty((len(answer), len(keys)))
+    out[:, np.argsort(keys)] = answer
+    return out
+
+
+def _sums(table: pa.Table, least: int) -> pa.Table:
+    """The answers of a part: the sums of each key's figures, and a 1 to the first block that has some of the first; and the part's root figures."""
+    table = table.sort_by("block")
+    keys = [values(k, np.uint64) for k in table.column("keys").to_pylist()]
+    sizes = np.array([len(k) for k in keys])
+    figures = np.concatenate([values(f, np.float64).reshape(-1, n) for f, n in zip(table.column("figures").to_pylist(), sizes, strict=True)], axis=1)
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
+    group = np.empty(len(flat), np.int64)
+    group[order] = np.cumsum(new) - 1
+    sums = np.stack([np.bincount(group, f) for f in figures])
+    there = order[figures[0][order] > 0]
+    first = np.zeros(len(flat))
+    first[there[np.r_[True, group[there][1:] != group[there][:-1]]] if len(there) else there] = 1
+    out = np.concatenate([sums[:, group], first[None]])
+    ends = np.cumsum(sizes)
+    c = sums[0]
+    root = [np.zeros(len(sizes), np.int64) for _ in range(3)]
+    for column, x in zip(root, (c.sum(), (c > 0).sum(), (c[c >= least] + 1).sum()), strict=True):
+        column[0] = round(float(x))
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([planes(out[:, e - n : e].ravel()) for e, n in zip(ends, sizes, strict=True)], pa.binary()),
+                     "kinds": pa.array(np.full(len(sizes), len(out), np.int32)), "tokens": root[0], "words": root[1], "symbols": root[2]})
 
 
 def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -149,123 +230,90 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=N
     return rows.mapInArrow(run, f"block long, words binary, at binary, ids array<{kind}>, held array<boolean>, lengths array<long>")
 
 
-def _each(held: DataFrame, derive, names: list[str]) -> DataFrame:
-    """Rows (block, *names) of 64-bit integers derived from each block."""
+def _blocks_of(table: pa.Table):
+    for row in zip(*(table.column(c).to_pylist() for c in ("block", "words", "at", "lengths", "held")), strict=True):
+        yield row[0], Block(*row[1:])
 
-    def run(batches):
+
+def _answers(rows: pa.Table) -> dict[int, np.ndarray]:
+    found: dict[int, list] = {}
+    for level, _, kinds, data in sorted(zip(*(rows.column(c).to_pylist() for c in ("level", "part", "kinds", "answer")), strict=True), key=lambda r: r[:2]):
+        found.setdefault(level, []).append(values(data, np.float64).reshape(kinds, -1))
+    return {level: np.concatenate(x, axis=1) for level, x in found.items()}
+
+
+def _all(answers: dict[int, DataFrame]) -> DataFrame:
+    tables = [a.select("block", F.lit(level).alias("level"), "part", "kinds", "answer") for level, a in answers.items()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _exchange(requests: DataFrame, least: int) -> DataFrame:
+    answer = "block long, part long, answer binary, kinds int, tokens long, words long, symbols long"
+    return written(requests.groupBy("part").applyInArrow(lambda t: _sums(t, least), answer), "lm-answers")
+
+
+def grow(cut: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE, depth: int = DEPTH) -> tuple[dict[int, DataFrame], tuple[int, int, int]]:
+    """The tree as tables of answers to blocks: of words (0), of transitions from contexts of d words (d), of contexts of d words (-d). And the training
+    tokens, their distinct words, and the sum of the symbols' occurrences, each by one more."""
+    request, held = "part long, block long, keys binary, figures binary", cut.select("block", "words", "at", "lengths", "held")
+
+    def words(batches):
         for batch in batches:
-            for block, words, at, lengths, known in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "at", "lengths", "held")), strict=True):
-                columns = derive(Block(words, at, lengths, known))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), block)), *(pa.array(c.view(np.int64)) for c in columns)], ["block", *names])
-
-    return held.select("block", "words", "at", "lengths", "held").mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _transitions(model: Tree):
-    """(key, c): transitions from contexts to symbols in the block, and how many of them are in training documents."""
-    n = len(model.symbols) + 1
-
-    def derive(b: Block):
-        symbol = model.symbol_of(b.words)[b.at]
-        one, two = b.contexts(model)
-        keys = np.concatenate([c[c >= 0] * n + symbol[c >= 0] for c in (one, two)])
-        trained = np.concatenate([b.trained[c >= 0] for c in (one, two)])
-        distinct, at = np.unique(keys, return_inverse=True)
-        return distinct.astype(np.int64), np.bincount(at, trained, len(distinct)).astype(np.int64)
-
-    return derive
-
-
-def _pairs(model: Tree):
-    def derive(b: Block):
-        word = model.word_of(b.words)[b.at]
-        both = (b.place[1:] >= 1) & (word[:-1] >= 0) & (word[1:] >= 0) & b.trained[1:]
-        distinct, n = np.unique(word[:-1][both] * len(model.contexts) + word[1:][both], return_counts=True)
-        return distinct.astype(np.int64), n.astype(np.int64)
-
-    return derive
-
-
-def grow(held: DataFrame, counts: DataFrame, context_share: float = CONTEXT_SHARE, symbol_share: float = SYMBOL_SHARE, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
-    """The tree, and its transition counts (key, c) as a table."""
-    n, v = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    common = counts.where(F.col("c") >= max(2, symbol_share * n)).collect()  # at most 1 / symbol_share words
-    words, c = np.array([r.w for r in common], np.int64).view(np.uint64), np.array([r.c for r in common], np.int64)
-    frequent = (c >= context_share * n) & (words != END)
-    model = Tree(words[frequent], words, c, n, v)
-    pairs = _each(held, _pairs(model), ["pair", "c"]).groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2, context_share * n)).collect()  # at most 1 / context_share
-    model.pairs = np.sort(np.array([r.pair for r in pairs], np.int64))
-    size = len(model.symbols) + 1
-    sums = written(_each(held, _transitions(model), ["key", "c"]).groupBy("key").agg(F.sum("c").alias("c")).where("c > 0"), "lm-transitions")
-    spark = held.sparkSession
-    rows = sums.select(F.expr(f"key div {size}").alias("s"), (F.col("key") % size).alias("a"), "c")
-    totals = rows.groupBy("s").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    root = spark.createDataFrame(list(enumerate(map(float, model.root))), "a long, p0 double")  # bounded as the symbols are
-    suffixes = spark.createDataFrame([(i, model.suffix(i)) for i in range(len(model.contexts) + len(model.pairs))], "s long, up long")
-    parent = rows.join(totals, "s").select(F.col("s").alias("up"), "a", (F.col("c") / F.col("n")).alias("q"))
-    told = rows.join(totals, "s").join(suffixes, "s").join(root, "a").join(parent, ["up", "a"], "left")
-    gain = F.sum(F.col("c") / F.col("n") * F.log((F.col("c") / F.col("n")) / F.coalesce("q", "p0")))
-    for r in told.groupBy("s").agg(gain.alias("kl"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("up").alias("up")).collect():  # at most 2 / context_share
-        if r.kl >= divergence:
-            model.retained[r.s] = r.n, r.kinds
-    every = {r.s: (r.n, r.kinds) for r in totals.collect()}
-    for s in list(model.retained):  # with a node its suffix is in the tree
-        up = model.suffix(s)
-        if up >= 0:
-            model.retained.setdefault(up, every[up])
-    return model, sums
-
-
-def _scores(b: Block, model: Tree, words: np.ndarray, word_counts: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, discount: float):
+            for block, b in _blocks_of(pa.Table.from_batches([batch])):
+                yield asked(block, b.words, np.bincount(b.at[b.trained], minlength=len(b.words)).astype(float)[None], PARTS)
+
+    answers = {0: _exchange(held.mapInArrow(words, request), least)}
+    root = tuple(answers[0].agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "symbols")]).first())
+    parts = PARTS
+    while root[0] > PART_TOKENS * parts:
+        parts *= 2
+
+    def requests(step: int):
+        def run(block: pa.Table, part: pa.Table) -> pa.Table:
+            ((number, b),) = _blocks_of(block)
+            view = View(b, _answers(part), root, least, depth)
+            if step < 0:
+                return pa.Table.from_batches([asked(number, *view.figures(-step, divergence), parts)])
+            level = view.levels[step - 1]
+            own = np.bincount(level.moves[b.trained[level.where]], minlength=len(level.keys)).astype(float)
+            return pa.Table.from_batches([asked(number, level.keys, own[None], parts)])
+
+        return run
+
+    for step in [*range(1, depth + 1), *range(-depth, 0)]:
+        answers[step] = _exchange(held.groupBy("block").cogroup(_all(answers).groupBy("block")).applyInArrow(requests(step), request), least)
+    return answers, root
+
+
+def _scores(view: View, divergence: float, discount: float):
     """Of each document: known tokens, base score and score."""
-    count = np.zeros(len(b.words), np.int64)
-    by_hash = np.argsort(b.words)
-    count[by_hash[np.searchsorted(b.words, words, sorter=by_hash)]] = word_counts
-    base = (count + 1) / (model.n + model.v + 1)
-    symbol_of_word = model.symbol_of(b.words)
-    share = np.where(symbol_of_word < len(model.symbols), 1.0, base / model.root[-1])
-    symbol, size = symbol_of_word[b.at], len(model.symbols) + 1
-    order = np.argsort(keys)
-    keys, key_counts = keys[order], key_counts[order]
-    total = np.zeros(len(model.contexts) + len(model.pairs) + 1)
-    kinds = total.copy()
-    for s, (n, k) in model.retained.items():
-        total[s], kinds[s] = n, k
-    p = model.root[symbol]
-    for context in b.contexts(model):  # from the root down to the longest retained suffix
-        on = np.flatnonzero((context >= 0) & (total[context] > 0))
-        s = context[on]
-        at = _find(keys, s * size + symbol[on])
-        c = np.where(at >= 0, key_counts[np.maximum(at, 0)] if len(keys) else 0, 0)
-        p[on] = (np.maximum(c - discount, 0) + discount * kinds[s] * p[on]) / total[s]
+    b, p = view.b, view.root.copy()
+    for level in view.levels:  # from the root down to the longest retained suffix
+        on = retained(level, divergence)[level.context]
+        at, context = level.where[on], level.context[on]
+        p[at] = (np.maximum(level.c[level.moves[on]] - discount, 0) + discount * level.kinds[context] * p[at]) / level.n[context]
+    share = np.where(view.own, 1.0, view.base / view.other)
     ends = np.cumsum(b.lengths) - b.lengths
     add = lambda x: np.add.reduceat(x, ends)
-    return add((count[b.at] > 0).astype(np.int64)), add(np.log10(base)[b.at]), add(np.log10(p) + np.log10(share)[b.at])
+    return add((view.count[b.at] > 0).astype(np.int64)), add(np.log10(view.base)[b.at]), add(np.log10(p) + np.log10(share)[b.at])
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, context_share: float = CONTEXT_SHARE, symbol_share: float = SYMBOL_SHARE,
-          divergence: float = DIVERGENCE, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, least: int = LEAST, divergence: float = DIVERGENCE, discount: float = DISCOUNT,
+          block_tokens: int = BLOCK_TOKENS, depth: int = DEPTH) -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = df.schema[id_col].dataType.simpleString()
     cut = written(blocks(df, id_col, text_col, held, block_tokens), "lm-blocks")
-    words = _each(cut, lambda b: (b.words, b.word_counts().astype(np.int64)), ["w", "c"])
-    counts = written(words.groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
-    model, sums = grow(cut, counts, context_share, symbol_share, divergence)
-    known = words.select("block", "w").join(counts.where("c > 0"), "w").select("block", F.col("w").alias("key"), "c")
-    # Counts of transitions bear a minus sign, to tell them from those of words.
-    nodes = df.sparkSession.createDataFrame([(s,) for s in model.retained], "s long")  # at most 2 / context_share
-    useful = sums.join(F.broadcast(nodes), F.expr(f"key div {len(model.symbols) + 1}") == F.col("s"), "left_semi")
-    moves = _each(cut, _transitions(model), ["key", "own"]).join(useful, "key").select("block", "key", (-F.col("c")).alias("c"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    answers, root = grow(cut, least, divergence, depth)
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
         row = {c: block.column(c)[0].as_py() for c in ("words", "at", "lengths", "held", "ids")}
         b = Block(row["words"], row["at"], row["lengths"], row["held"])
-        key, c = (part.column(x).to_numpy() for x in ("key", "c"))
-        word, move, m = c > 0, c < 0, shared.value
-        n_known, base, own = _scores(b, m, key[word].view(np.uint64), c[word], key[move], -c[move], discount)
+        n_known, base, own = _scores(View(b, _answers(part), root, least, depth), divergence, discount)
         return pa.table({"id": pa.array(row["ids"], block.schema.field("ids").type.value_type), "held_out": pa.array(row["held"]), "n_tokens": pa.array(b.lengths), "n_known": pa.array(n_known),
-                         "train_tokens": pa.array(np.full(len(b.lengths), m.n, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
+                         "train_tokens": pa.array(np.full(len(b.lengths), root[0], np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return cut.groupBy("block").cogroup(known.union(moves).groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    return cut.groupBy("block").cogroup(_all(answers).groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -321,6 +321,56 @@ def test_language_model_depends_on_context(spark):
     assert all(x.score < 0 for x in first.values())
 
 
+def tree_scores(docs, held, least, depth, divergence=0.02, discount=0.75):
+    """Scores by dictionaries, from the definition."""
+    texts = {i: [*t.split(), None] for i, t in docs}
+    trained = [w for i, w in texts.items() if i not in held]
+    words = Counter(x for w in trained for x in w)
+    n, v = sum(words.values()), len(words)
+    base = lambda x: (words[x] + 1) / (n + v + 1)
+    symbol = lambda x: x if words[x] >= least else "<other>"
+    rest = 1 - sum(base(x) for x in words if words[x] >= least)
+    root = lambda a: rest if a == "<other>" else base(a)
+    moves = {}
+    for w in trained:
+        for t in range(len(w)):
+            for d in range(1, min(t, depth) + 1):
+                moves.setdefault(tuple(w[t - d : t]), Counter())[symbol(w[t])] += 1
+    moves = {s: c for s, c in moves.items() if c.total() >= least}
+    kept = set()
+    for s, c in moves.items():
+        up = moves.get(s[1:])
+        if sum(k / c.total() * math.log(k / c.total() / (up[a] / up.total() if up else root(a))) for a, k in c.items()) >= divergence:
+            kept |= {s[k:] for k in range(len(s))}
+
+    def p(s, a):
+        if not s:
+            return root(a)
+        if s not in kept:
+            return p(s[1:], a)
+        c = moves[s]
+        return (max(c[a] - discount, 0) + discount * len(c) * p(s[1:], a)) / c.total()
+
+    return {i: sum(math.log10(p(tuple(w[max(0, t - depth) : t]), symbol(w[t])) * (1 if symbol(w[t]) == w[t] else base(w[t]) / rest)) for t in range(len(w))) for i, w in texts.items()}
+
+
+@pytest.mark.parametrize("block", [300, 100_000])
+def test_language_model_equals_dictionaries(spark, block):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 300) + (k % 3) * (rng.random() < 0.5)}" for k in range(rng.randrange(80)))) for i in range(120)]
+    expected = tree_scores(docs, set(range(100, 120)), 10, 2)
+    found = suffix_tree_lm.score(spark.createDataFrame(docs, DOCS), held=F.col("doc_id") >= 100, block_tokens=block).collect()
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected)
+
+
+def test_language_model_keeps_contexts_of_small_share(spark):
+    """A phrase that occurs 30 times among 400,000 tokens (a share of 7.5e-5) is in the tree."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(4000)) + (" one two three" if i < 30 else "")) for i in range(100)]
+    r = suffix_tree_lm.score(spark.createDataFrame([*docs, (100, "one two three")], DOCS), held=F.col("doc_id") == 100).where("held_out").first()
+    assert r.score > 0.5 * r.base_score
+
+
 def test_pipeline(spark, documents):
     docs, sizes = documents, []
     for name, stage in corpus_pipeline.STAGES:
