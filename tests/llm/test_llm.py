@@ -221,6 +221,20 @@ def test_line_dedup(spark):
     assert wrong <= 0.02 * len(places)
 
 
+@pytest.mark.parametrize("block", [130, None])
+def test_line_dedup_compares_all_of_a_bucket(spark, block, monkeypatch):
+    """X, A, Y, B in one bucket, with only A and B alike: neither is first nor next to the other."""
+    rng = random.Random(3)
+    x, a, y = ("".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(3))
+    docs = list(enumerate((x, a, y, a[:60] + "z" + a[61:])))
+    number, write = F.create_map(*[F.lit(v) for k, t in docs for v in (t, k)]), line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: write(df.withColumn("_l", F.element_at(number, F.col("_line")).cast("long")) if name == "lines" else df, name))
+    one = "_l", "1L AS _b", "first(_l) OVER (ORDER BY _l) AS _f", "lag(_l) OVER (ORDER BY _l) AS _p", "count(_l) OVER () AS _m"
+    monkeypatch.setattr(line_dedup, "_buckets", lambda lines, n: write(lines.selectExpr(*one), "one-bucket"))
+    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS).coalesce(1), **({"block_characters": block} if block else {})).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_components(odd).count() == odd.count() + 1 and line_dedup.line_components(empty).count() == 0
 
