@@ -235,6 +235,15 @@ def test_line_dedup_compares_all_of_a_bucket(spark, block, monkeypatch):
     assert found == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
+@pytest.mark.parametrize(("least", "how"), [(49, {}), (30, {"n": 3})])
+def test_line_dedup_finds_one_changed_character(spark, least, how):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefghijklmnop") for _ in range(k)) for k in range(least, 101)]
+    docs = [(k, "\n".join(lines[k] if i == 0 else lines[k][: len(lines[k]) // 2] + "z" + lines[k][len(lines[k]) // 2 + 1 :] for i in range(2))) for k in range(len(lines))]
+    found = line_dedup.line_components(spark.createDataFrame(docs, DOCS), **how).where("kept AND line_no = 1").count()
+    assert found <= 0.02 * len(lines)
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_components(odd).count() == odd.count() + 1 and line_dedup.line_components(empty).count() == 0
 
