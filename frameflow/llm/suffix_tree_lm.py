@@ -6,10 +6,14 @@ one for all others, inside which a word has its share by the base model. A node'
 suffix's, the root is the base model, so the probabilities of all words, unknown ones together as one, sum to 1. A token is scored by the node of the
 longest retained suffix of the words before it.
 
-Texts are turned into blocks of tokens once. The model is never in one place: words, transitions and contexts have 64-bit keys, dealt by their upper
-bits to parts. Each block sends its own distinct keys with its own figures to the parts, which add them up and write answers that only that block
-reads. Words come first, then transitions level by level (those with enough occurrences are the contexts of the next level), then contexts from the
-deepest level up. No task and no driver holds more than a block or a part; the number of parts grows with the training tokens.
+Texts become blocks of tokens once. Words have 64-bit keys, dealt by their upper bits to parts that count them and number the symbols. Then every token
+with a context becomes a row (words before it, nearest first; symbol; document), and the rows are sorted into ranges of about RANGE_TOKENS rows: in
+this order all occurrences of a context, and of all longer ones that end in it, are next to each other, so a range counts, tests and scores its own
+part of the tree and returns sums for each document. Bounds come from a sample of rows and are moved back to the start of a context where that is near.
+Only contexts larger than a range are cut by bounds ("open": at most DEPTH for each bound); their symbols are counted by parts that share no symbol,
+and each range gets the counts of the symbols that it has. A key of any share of the rows is cut too, as blocks are part of the order. No task holds
+more than a block, a part or a range; the driver holds bounds and open contexts, a few numbers for each range. A block sends one record to each
+range that it has rows of, so records grow short where ranges are far more than a block's distinct contexts.
 
 Defined results: a null or empty text is its end token alone; a null id is a training document; repeated rows are counted and scored each; without
 training documents all counts are 0. Other columns are ignored.
@@ -18,29 +22,26 @@ training documents all counts are 0. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, mixed, written
+from ._shared import WordHashes, mixed, remove, written, written_at
 from .bpe import text_batches
 
 #: Least training occurrences of a context and of a symbol of its own; least divergence (nats for each occurrence) of a retained context.
-LEAST, DIVERGENCE = 10, 0.02
+LEAST, DIVERGENCE = 3, 0.02
 #: Most words of a context.
-DEPTH = 2
-#: Absolute discount; tokens in a block (a longer document is a block of its own).
-DISCOUNT, BLOCK_TOKENS = 0.75, 2_000_000
-#: Parts of the keys (a power of two): so many at least, and more where a part would hold those of more than so many training tokens.
-PARTS, PART_TOKENS = 512, 8_000_000
+DEPTH = 3
+#: Absolute discount; tokens in a block (a longer document is a block of its own); rows in a range.
+DISCOUNT, BLOCK_TOKENS, RANGE_TOKENS = 0.75, 1_000_000, 500_000
+#: Parts of the words (a power of two), and rows of the sample that bounds are taken from, for each range.
+PARTS, SAMPLED = 64, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MEMO = WordHashes()
-#: The symbol of all words that are no symbols of their own.
-OTHER = np.uint64(0)
 #: The end token: not the hash of any word, as words hash to 64-bit values of which this one is set aside.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
@@ -54,164 +55,26 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def packed(at: np.ndarray) -> bytes:
-    """Indices byte plane by byte plane, compressed; frequent words have small indices, so the upper planes nearly vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def packed(*columns: np.ndarray) -> bytes:
+    """Unsigned 32-bit columns of one length, byte plane by byte plane, compressed: the upper planes and what is sorted nearly vanish."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns))
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
-
-
-class Block:
-    """Tokens of some documents as indices into their distinct words, the most frequent first."""
-
-    def __init__(self, words: bytes, at: bytes, lengths, held):
-        self.words = np.frombuffer(words, np.uint64)
-        self.at = unpacked(at)
-        self.lengths = np.array(lengths, np.int64)
-        self.held = np.array(held, bool)
-        self.trained = np.repeat(~self.held, self.lengths)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.place = (np.arange(len(self.at)) - np.repeat(starts, self.lengths)).astype(np.int32)  # place of a token in its document
-
-
-class Level:
-    """Transitions of a block from contexts of some length: of each token in where its context (own number, key, occurrences) and its transition's number."""
-
-    def __init__(self, where: np.ndarray, contexts: np.ndarray, totals: np.ndarray, symbols: np.ndarray):
-        self.where, self.totals = where, totals
-        self.moves, self.keys = pd.factorize(mixed(mixed(contexts) + symbols))
-        self.context, self.contexts = pd.factorize(contexts)
-        self.n = np.zeros(len(self.contexts))  # occurrences of each context
-        self.n[self.context] = totals
-
-
-class View:
-    """What a block knows of the model from the answers so far."""
-
-    def __init__(self, b: Block, answers: dict[int, np.ndarray], root: tuple[int, int, int], least: int, depth: int):
-        self.b, n, (tokens, kinds, symbols) = b, len(b.at), root
-        self.count = answered(b.words, answers[0])[0]  # training tokens of each word
-        self.base = (self.count + 1) / (tokens + kinds + 1)
-        self.own = self.count >= least
-        self.other = max(1 - symbols / (tokens + kinds + 1), 1e-300)
-        symbol = np.where(self.own, b.words, OTHER)[b.at]
-        self.root = np.where(self.own, self.base, self.other)[b.at]
-        self.levels: list[Level] = []
-        keys, totals = np.zeros(n, np.uint64), np.zeros(n)
-        keys[1:], totals[1:] = b.words[b.at[:-1]], self.count[b.at[:-1]]
-        on = (b.place >= 1) & (totals >= least)
-        for d in range(1, depth + 1):
-            where = np.flatnonzero(on)
-            level = Level(where, keys[where], totals[where], symbol[where])
-            self.levels.append(level)
-            none = np.empty((4, 0)) if not len(where) else None  # who asks for nothing gets no answer
-            if d not in answers and none is None:
-                break
-            level.c, level.first = answered(level.keys, answers[d]) if none is None else none[:2]
-            if -d in answers or none is not None:
-                level.kinds, gain, below, _ = answered(level.contexts, answers[-d]) if none is None else none
-                level.gain, level.below = gain / level.n - np.log(level.n), below > 0
-            if d < depth:
-                at = where + 1 < n
-                to, move = where[at] + 1, level.moves[at]
-                keys, totals, on = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
-                keys[to], totals[to] = level.keys[move], level.c[move]
-                on[to] = (b.place[to] > d) & (totals[to] >= least) & (symbol[to - 1] != OTHER)
-
-    def figures(self, d: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of each context of d words: distinct transitions that are this block's to count, divergence (this block's summands, not yet by
-        occurrences), and whether a longer context that ends in it is retained."""
-        level, trained = self.levels[d - 1], self.b.trained
-        of_move = np.zeros(len(level.keys), np.int64)
-        of_move[level.moves] = level.context
-        m = len(level.contexts)
-        before = self.root
-        if d > 1:
-            up = self.levels[d - 2]
-            before = np.ones(len(self.b.at))
-            before[up.where] = up.c[up.moves] / up.totals
-        on = trained[level.where]
-        gain = np.bincount(level.context[on], np.log(level.c[level.moves[on]] / before[level.where[on]]), m)
-        below = np.zeros(m)
-        if d < len(self.levels):
-            longer = self.levels[d]
-            number = np.full(len(self.b.at), -1)
-            number[level.where] = level.context
-            below[number[longer.where[retained(longer, divergence)[longer.context]]]] = 1
-        return level.contexts, np.stack([np.bincount(of_move[level.first > 0], minlength=m).astype(float), gain, below])
-
-
-def retained(level: Level, divergence: float) -> np.ndarray:
-    return (level.gain >= divergence) | level.below
-
-
-def planes(x: np.ndarray) -> bytes:
-    """64-bit values byte plane by byte plane, which the codecs of shuffles and tables then make small."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def values(data: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
-
-
-def asked(block: int, keys: np.ndarray, figures: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Distinct keys and their figures (a row of floats for each kind), a record for each part."""
-    order = np.argsort(keys)
-    keys, figures = keys[order], figures[:, order]
-    part = (keys >> np.uint64(65 - parts.bit_length())).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-    ends = np.r_[starts[1:], len(part)]
-    k, v = ([f(i, j) for i, j in zip(starts, ends, strict=False)] for f in (lambda i, j: planes(keys[i:j]), lambda i, j: planes(figures[:, i:j].ravel())))
-    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(np.full(len(starts), block)), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["part", "block", "keys", "figures"])
-
-
-def answered(keys: np.ndarray, answer: np.ndarray) -> np.ndarray:
-    """The answer, which goes by ascending keys, in the order of the keys."""
-    out = np.empty((len(answer), len(keys)))
-    out[:, np.argsort(keys)] = answer
-    return out
-
-
-def _sums(table: pa.Table, least: int) -> pa.Table:
-    """The answers of a part: the sums of each key's figures, and a 1 to the first block that has some of the first; and the part's root figures."""
-    table = table.sort_by("block")
-    keys = [values(k, np.uint64) for k in table.column("keys").to_pylist()]
-    sizes = np.array([len(k) for k in keys])
-    figures = np.concatenate([values(f, np.float64).reshape(-1, n) for f, n in zip(table.column("figures").to_pylist(), sizes, strict=True)], axis=1)
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
-    group = np.empty(len(flat), np.int64)
-    group[order] = np.cumsum(new) - 1
-    sums = np.stack([np.bincount(group, f) for f in figures])
-    there = order[figures[0][order] > 0]
-    first = np.zeros(len(flat))
-    first[there[np.r_[True, group[there][1:] != group[there][:-1]]] if len(there) else there] = 1
-    out = np.concatenate([sums[:, group], first[None]])
-    ends = np.cumsum(sizes)
-    c = sums[0]
-    root = [np.zeros(len(sizes), np.int64) for _ in range(3)]
-    for column, x in zip(root, (c.sum(), (c > 0).sum(), (c[c >= least] + 1).sum()), strict=True):
-        column[0] = round(float(x))
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([planes(out[:, e - n : e].ravel()) for e, n in zip(ends, sizes, strict=True)], pa.binary()),
-                     "kinds": pa.array(np.full(len(sizes), len(out), np.int32)), "tokens": root[0], "words": root[1], "symbols": root[2]})
+def unpacked(data: bytes, columns: int = 1) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 4, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
 
 
 def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Tokens of some documents as indices into their distinct words (ascending hashes)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         part, k, docs, size = pyspark.TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            words, at, n = np.unique(np.concatenate([h for _, _, h in docs]), return_inverse=True, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            row = {"block": part << 32 | k, "words": words[order].tobytes(), "at": packed(rank[at]), "ids": [i for i, _, _ in docs], "held": [x for _, x, _ in docs], "lengths": [len(h) for _, _, h in docs]}
+            words, at = np.unique(np.concatenate([h for _, _, h in docs]), return_inverse=True)
+            row = {"block": part << 32 | k, "words": words.tobytes(), "at": packed(at), "ids": [i for i, _, _ in docs], "held": [x for _, x, _ in docs], "lengths": [len(h) for _, _, h in docs]}
             return pa.RecordBatch.from_pydict({n: pa.array([x], t) for (n, x), t in zip(row.items(), (pa.int64(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)})
 
         for batch, texts in text_batches(batches, 1):
@@ -230,90 +93,405 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=N
     return rows.mapInArrow(run, f"block long, words binary, at binary, ids array<{kind}>, held array<boolean>, lengths array<long>")
 
 
-def _blocks_of(table: pa.Table):
-    for row in zip(*(table.column(c).to_pylist() for c in ("block", "words", "at", "lengths", "held")), strict=True):
-        yield row[0], Block(*row[1:])
+def _rows(table: pa.Table, *names: str):
+    return zip(*(table.column(n).to_pylist() for n in names), strict=True)
+
+
+def _binary(values) -> pa.Array:
+    return pa.array(values, pa.binary())
+
 
+def _word_requests(cut: DataFrame) -> DataFrame:
+    """Each block's distinct words with its training counts, a record for each part."""
 
-def _answers(rows: pa.Table) -> dict[int, np.ndarray]:
-    found: dict[int, list] = {}
-    for level, _, kinds, data in sorted(zip(*(rows.column(c).to_pylist() for c in ("level", "part", "kinds", "answer")), strict=True), key=lambda r: r[:2]):
-        found.setdefault(level, []).append(values(data, np.float64).reshape(kinds, -1))
-    return {level: np.concatenate(x, axis=1) for level, x in found.items()}
+    def run(batches):
+        for batch in batches:
+            for block, words, at, lengths, held in _rows(batch, "block", "words", "at", "lengths", "held"):
+                keys = np.frombuffer(words, np.uint64)
+                trained = np.repeat(~np.array(held, bool), lengths)
+                counts = np.bincount(unpacked(at)[0][trained], minlength=len(keys))
+                ends = np.r_[0, np.searchsorted(keys >> np.uint64(65 - PARTS.bit_length()), np.arange(PARTS), "right")]
+                parts = [p for p in range(PARTS) if ends[p] < ends[p + 1]]
+                cut = [slice(ends[p], ends[p + 1]) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([block] * len(parts), pa.int64()), _binary([keys[c].tobytes() for c in cut]), _binary([packed(counts[c]) for c in cut])], ["part", "block", "keys", "counts"])
+
+    return cut.select("block", "words", "at", "lengths", "held").mapInArrow(run, "part long, block long, keys binary, counts binary")
+
+
+def _count_words(table: pa.Table, least: int) -> pa.Table:
+    """To each block the training counts of its keys of a part, and their numbers among the part's symbols (from 1; 0: no symbol). And the part's
+    training tokens, distinct words, the sum of its symbols' counts, each by one more, and its symbols."""
+    table = table.sort_by("block")
+    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    flat, ends = np.concatenate(keys), np.cumsum(list(map(len, keys)))
+    distinct, at = np.unique(flat, return_inverse=True)
+    c = np.bincount(at, np.concatenate([unpacked(x)[0] for x in table.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
+    own = c >= least
+    number = np.where(own, np.cumsum(own), 0)
+    figures = [[int(x), *[0] * (len(keys) - 1)] for x in (c.sum(), (c > 0).sum(), (c[own] + 1).sum(), own.sum())]
+    split = [slice(e - len(k), e) for e, k in zip(ends, keys, strict=True)]
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": _binary([c[at[s]].tobytes() for s in split]), "numbers": _binary([packed(number[at[s]]) for s in split]),
+                     **{n: pa.array(x, pa.int64()) for n, x in zip(("tokens", "words", "mass", "symbols"), figures, strict=True)}})
+
+
+class Root:
+    """The base model, and the number of the first symbol of each part."""
+
+    def __init__(self, figures: list):
+        self.tokens, self.words, self.mass = (sum(r[n] for r in figures) for n in ("tokens", "words", "mass"))
+        sizes = [0] * PARTS
+        for r in figures:
+            sizes[r["part"]] = r["symbols"]
+        self.first = np.cumsum([0, *sizes])
+        if self.first[-1] >= 2**32 - 1:
+            raise ValueError("more symbols than 32 bits number: raise least")
+        self.total = self.tokens + self.words + 1
+        self.other = max(1 - self.mass / self.total, 1e-300)  # of all words that are no symbols of their own
+
+    def of_symbols(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.where(symbol > 0, (count + 1.0) / self.total, self.other)
+
+
+def _numbered(cut: DataFrame, answers: DataFrame, root: Root, depth: int) -> DataFrame:
+    """Blocks whose words are numbers of symbols, with a sample of their rows and, for each document, known tokens, base score and the part of the
+    score that needs no context."""
+    kind = cut.schema["ids"].dataType.simpleString()
+
+    def run(block: pa.Table, answer: pa.Table) -> pa.Table:
+        ((number, at, ids, held, lengths),) = _rows(block, "block", "at", "ids", "held", "lengths")
+        counts, symbols = [], []
+        for part, c, s in sorted(_rows(answer, "part", "counts", "numbers")):
+            s = unpacked(s)[0].astype(np.int64)
+            counts.append(np.frombuffer(c, np.int64))
+            symbols.append(np.where(s > 0, s + root.first[part], 0).astype(np.uint32))
+        counts, symbols, i = np.concatenate(counts), np.concatenate(symbols), unpacked(at)[0]
+        starts = np.cumsum(lengths) - lengths
+        base = (counts + 1.0) / root.total
+        alone = np.log10(np.where(symbols > 0, 1.0, base / root.other))[i]
+        rows = Rows(symbols[i], np.array(lengths), depth)
+        free = np.ones(len(i), bool)
+        free[rows.at] = False
+        alone[free] += np.log10(root.of_symbols(symbols, counts))[i[free]]
+        picked = np.random.default_rng(number).permutation(len(rows.at))[: len(rows.at) // 512 + 1]
+        made = [c[picked] for c in rows.columns]
+        add = lambda x: np.add.reduceat(x, starts)
+        lists = [pa.array([add(x)]) for x in ((counts > 0)[i].astype(np.int64), np.log10(base)[i], alone)]
+        return pa.table({"block": block.column("block"), "symbols": _binary([packed(symbols)]), "counts": _binary([counts.tobytes()]), "at": block.column("at"), "ids": block.column("ids"),
+                         "held": block.column("held"), "lengths": block.column("lengths"), "n_known": lists[0], "base": lists[1], "alone": lists[2],
+                         "rows": pa.array([len(rows.at)], pa.int64()), "picked": _binary([np.stack(made, axis=1).astype("<u4").tobytes()])})
+
+    schema = f"block long, symbols binary, counts binary, at binary, ids {kind}, held array<boolean>, lengths array<long>, n_known array<long>, base array<double>, alone array<double>, rows long, picked binary"
+    return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+class Rows:
+    """The tokens of a block that have a context: their places, and columns of the words before them (0 ends a context), nearest first, and symbols."""
+
+    def __init__(self, symbol: np.ndarray, lengths: np.ndarray, depth: int):
+        n = len(symbol)
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        before = np.zeros(n, np.uint32)
+        before[1:] = symbol[:-1]
+        self.at = np.flatnonzero((place > 0) & (before > 0))
+        place, self.columns = place[self.at], [before[self.at]]
+        for d in range(2, depth + 1):
+            w = np.where((place >= d) & (self.columns[-1] > 0), symbol[np.maximum(self.at - d, 0)], 0)
+            self.columns.append(w.astype(np.uint32))
+        self.columns.append(symbol[self.at])
+
+
+def sort_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The same order by fewer keys: two columns in each."""
+    wide = [*columns, np.zeros(len(columns[0]), np.uint32)] if len(columns) % 2 else columns
+    return [a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64) for a, b in zip(wide[::2], wide[1::2], strict=True)]
+
+
+def cuts(keys: list[np.ndarray], salt: int, bounds: np.ndarray) -> np.ndarray:
+    """Where the sorted rows of a block lie in the ranges: of each bound, how many rows come before it."""
+    wanted = sort_keys([np.ascontiguousarray(bounds[:, i]) for i in range(bounds.shape[1] - 1)])
+    low, high = np.searchsorted(keys[0], wanted[0], "left"), np.searchsorted(keys[0], wanted[0], "right")
+    for j in np.flatnonzero(low < high):
+        a, b = low[j], high[j]
+        for key, w in zip(keys[1:], wanted[1:], strict=True):
+            a, b = a + np.searchsorted(key[a:b], w[j], "left"), a + np.searchsorted(key[a:b], w[j], "right")
+        low[j] = b if salt < bounds[j, -1] else a
+    return low
+
+
+def salt_of(block: int) -> int:
+    return int(mixed(np.array([block], np.uint64))[0] >> np.uint64(33)) + 1
+
+
+class Plan:
+    """Bounds of the ranges (context, symbol, salt) and the contexts that they cut."""
+
+    def __init__(self, sample: np.ndarray, ranges: int, depth: int):
+        self.depth = depth
+        sample = sample[np.lexsort(sample.T[::-1])]
+        self.bounds, step = [], len(sample) / max(ranges, 1)
+        for k in range(1, ranges):
+            at = int(k * step)
+            row, lo = sample[at], 0
+            for length in range(1, sample.shape[1] + 1):  # the shortest beginning whose start is near
+                lo += int(np.searchsorted(sample[lo : at + 1, length - 1], row[length - 1], "left"))
+                if at - lo <= step / 2 or length == sample.shape[1]:
+                    self.bounds.append((*row[:length].tolist(), *[0] * (sample.shape[1] - length)))
+                    break
+        self.bounds = np.array(sorted(set(self.bounds)), np.int64).reshape(-1, depth + 2)
+        self.open: list[tuple[int, ...]] = sorted({tuple(b[:d].tolist()) for b in self.bounds for d in range(1, depth + 1) if b[:d].all() and b[d:].any()}, key=lambda s: (len(s), s))
+        self.number = {s: k for k, s in enumerate(self.open)}
+        self.levels = []  # of each depth: (open suffix's number << 32 | word) in ascending order, and the numbers
+        for d in range(1, depth + 1):
+            own = sorted((((self.number[s[:-1]] + 1 if d > 1 else 0) << 32 | s[-1]), k) for s, k in self.number.items() if len(s) == d)
+            self.levels.append((np.array([x for x, _ in own], np.uint64), np.array([k for _, k in own], np.int64)))
 
+    def numbers(self, columns: list[np.ndarray]):
+        """Of each depth: the number of each row's context among the open ones, -1 for others."""
+        up = np.full(len(columns[0]), -1)
+        for d, (keys, own) in enumerate(self.levels):
+            found = np.full(len(up), -1)
+            if len(keys):
+                there = np.arange(len(up)) if d == 0 else np.flatnonzero(up >= 0)
+                wanted = (up[there] + 1).astype(np.uint64) << np.uint64(32) | columns[d][there]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found[there] = np.where(keys[at] == wanted, own[at], -1)
+            yield found
+            up = found
 
-def _all(answers: dict[int, DataFrame]) -> DataFrame:
-    tables = [a.select("block", F.lit(level).alias("level"), "part", "kinds", "answer") for level, a in answers.items()]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
 
+def _of_block(row, depth: int):
+    """Sorted columns, keys, documents (twice the number, and 1 for training) and symbols' counts of a block's rows."""
+    block, symbols, counts, at, held, lengths = row
+    symbols, i, lengths = unpacked(symbols)[0], unpacked(at)[0], np.array(lengths)
+    rows = Rows(symbols[i], lengths, depth)
+    doc = np.repeat(np.arange(len(lengths)) * 2 + ~np.array(held, bool), lengths)[rows.at]
+    keys = sort_keys(rows.columns)
+    order = np.lexsort(keys[::-1])
+    return [c[order] for c in rows.columns], [k[order] for k in keys], doc[order], np.frombuffer(counts, np.int64)[i[rows.at[order]]]
 
-def _exchange(requests: DataFrame, least: int) -> DataFrame:
-    answer = "block long, part long, answer binary, kinds int, tokens long, words long, symbols long"
-    return written(requests.groupBy("part").applyInArrow(lambda t: _sums(t, least), answer), "lm-answers")
 
+_BLOCK = ("block", "symbols", "counts", "at", "held", "lengths")
 
-def grow(cut: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE, depth: int = DEPTH) -> tuple[dict[int, DataFrame], tuple[int, int, int]]:
-    """The tree as tables of answers to blocks: of words (0), of transitions from contexts of d words (d), of contexts of d words (-d). And the training
-    tokens, their distinct words, and the sum of the symbols' occurrences, each by one more."""
-    request, held = "part long, block long, keys binary, figures binary", cut.select("block", "words", "at", "lengths", "held")
 
-    def words(batches):
+def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
+    """Training counts of the symbols after open contexts, by range; a record for each part (of symbols) and block."""
+
+    def run(batches):
         for batch in batches:
-            for block, b in _blocks_of(pa.Table.from_batches([batch])):
-                yield asked(block, b.words, np.bincount(b.at[b.trained], minlength=len(b.words)).astype(float)[None], PARTS)
-
-    answers = {0: _exchange(held.mapInArrow(words, request), least)}
-    root = tuple(answers[0].agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "symbols")]).first())
-    parts = PARTS
-    while root[0] > PART_TOKENS * parts:
-        parts *= 2
-
-    def requests(step: int):
-        def run(block: pa.Table, part: pa.Table) -> pa.Table:
-            ((number, b),) = _blocks_of(block)
-            view = View(b, _answers(part), root, least, depth)
-            if step < 0:
-                return pa.Table.from_batches([asked(number, *view.figures(-step, divergence), parts)])
-            level = view.levels[step - 1]
-            own = np.bincount(level.moves[b.trained[level.where]], minlength=len(level.keys)).astype(float)
-            return pa.Table.from_batches([asked(number, level.keys, own[None], parts)])
-
-        return run
-
-    for step in [*range(1, depth + 1), *range(-depth, 0)]:
-        answers[step] = _exchange(held.groupBy("block").cogroup(_all(answers).groupBy("block")).applyInArrow(requests(step), request), least)
-    return answers, root
-
-
-def _scores(view: View, divergence: float, discount: float):
-    """Of each document: known tokens, base score and score."""
-    b, p = view.b, view.root.copy()
-    for level in view.levels:  # from the root down to the longest retained suffix
-        on = retained(level, divergence)[level.context]
-        at, context = level.where[on], level.context[on]
-        p[at] = (np.maximum(level.c[level.moves[on]] - discount, 0) + discount * level.kinds[context] * p[at]) / level.n[context]
-    share = np.where(view.own, 1.0, view.base / view.other)
-    ends = np.cumsum(b.lengths) - b.lengths
-    add = lambda x: np.add.reduceat(x, ends)
-    return add((view.count[b.at] > 0).astype(np.int64)), add(np.log10(view.base)[b.at]), add(np.log10(p) + np.log10(share)[b.at])
+            for row in _rows(batch, *_BLOCK):
+                columns, keys, doc, count = _of_block(row, plan.depth)
+                ends = cuts(keys, salt_of(row[0]), plan.bounds)
+                place = np.searchsorted(ends, np.arange(len(doc)), "right")
+                found = []
+                for number in plan.numbers(columns):
+                    on = np.flatnonzero(number >= 0)
+                    found.append(np.stack([columns[-1][on].astype(np.int64), number[on], place[on], count[on], doc[on] & 1]))
+                rows = np.concatenate(found, axis=1)
+                if not rows.shape[1]:
+                    continue
+                rows = rows[:, np.lexsort(rows[:3])]
+                new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
+                rows = np.concatenate([rows[:4, new], np.add.reduceat(rows[4], new)[None]])
+                part = (mixed(rows[0].astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), _binary([rows[:, part == p].tobytes()])], ["part", "rows"])
+
+    return made.select(*_BLOCK).mapInArrow(run, "part long, rows binary")
+
+
+def _count_open(table: pa.Table, plan: Plan, root: Root) -> pa.Table:
+    """To each range the counts of its symbols after open contexts (range, context, symbol, count), and as range -1 summands of each context's
+    figures: occurrences, distinct symbols, and sums of c ln c and of c ln q, where q is the suffix's count or the root's probability."""
+    symbol, number, place, count, c = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("rows").to_pylist()], axis=1)
+    key = number.astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64)
+    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    total = np.bincount(at, c).astype(np.int64)
+    context, symbols = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
+    up = np.array([plan.number[s[:-1]] if len(s) > 1 else -1 for s in plan.open])[context]
+    q = root.of_symbols(symbols, count[first])
+    below = np.flatnonzero(up >= 0)
+    q[below] = total[np.searchsorted(distinct, up[below].astype(np.uint64) << np.uint64(32) | symbols[below])]
+    own, c = np.unique(context), np.maximum(total, 1)  # of symbols without training tokens here only the range hears
+    figures = np.stack([np.bincount(context, w)[own] for w in (total, total > 0, total * np.log(c), total * np.log(np.maximum(q, 1e-300)))])
+    pairs = np.unique(np.stack([place, at]), axis=1)
+    starts = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]])
+    ranges = pairs[0, starts].tolist()
+    data = [np.stack([context[x], symbols[x].astype(np.int64), total[x]]).tobytes() for x in np.split(pairs[1], starts[1:])]
+    return pa.table({"range": pa.array([*ranges, -1], pa.int64()), "rows": _binary([*data, None]),
+                     "figures": pa.array([*[None] * len(ranges), [[float(a), *b] for a, b in zip(own, figures.T.tolist(), strict=True)]], pa.list_(pa.list_(pa.float64())))})
+
+
+def _chunks(made: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of each block, a record for each range."""
+
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch, *_BLOCK):
+                columns, keys, doc, count = _of_block(row, plan.depth)
+                ends = np.r_[0, cuts(keys, salt_of(row[0]), plan.bounds), len(doc)]
+                there = np.flatnonzero(ends[:-1] < ends[1:])
+                data = [packed(*[c[ends[k] : ends[k + 1]] for c in (*columns, doc, count & 0xFFFFFFFF, count >> 32)]) for k in there]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row[0]] * len(there), pa.int64()), _binary(data)], ["range", "block", "data"])
+
+    return made.select(*_BLOCK).mapInArrow(run, "range long, block long, data binary")
+
+
+class Range:
+    """The part of the tree that the rows of a range make: of each depth the rows' groups (contexts), and of the groups all that is known."""
+
+    def __init__(self, chunks: pa.Table, answers: list[bytes], plan: Plan, figures: np.ndarray, root: Root, least: int, divergence: float, kept: np.ndarray):
+        depth, least = plan.depth, max(least, 1)
+        self.blocks = chunks.column("block").to_pylist()
+        parts = [unpacked(x, depth + 4) for x in chunks.column("data").to_pylist()]
+        self.block = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+        rows = np.concatenate(parts, axis=1)
+        del parts
+        order = np.lexsort(sort_keys(list(rows[: depth + 1]))[::-1])
+        columns, self.doc, self.block = list(rows[: depth + 1, order]), rows[depth + 1, order], self.block[order]
+        symbol, trained = columns[-1].astype(np.int64), self.doc & 1 > 0
+        self.p = root.of_symbols(symbol, rows[depth + 2, order].astype(np.int64) | rows[depth + 3, order].astype(np.int64) << 32)
+        del rows, order
+        totals = np.concatenate([np.frombuffer(a, np.int64).reshape(3, -1) for a in answers], axis=1) if answers else np.empty((3, 0), np.int64)
+        open_keys = totals[0] << 32 | totals[1]
+        by_key = np.argsort(open_keys)
+        open_keys, open_counts = open_keys[by_key], totals[2][by_key]
+        change, q, self.levels = np.zeros(len(symbol), bool), self.p, []
+        change[:1] = True
+        for d, number in zip(range(depth), plan.numbers(columns), strict=False):
+            change[1:] |= columns[d][1:] != columns[d][:-1]
+            group = np.cumsum(change) - 1
+            start = np.flatnonzero(change)
+            n = np.bincount(group, trained)
+            pair = group << 32 | symbol
+            if d == depth - 1:
+                new = np.r_[True, pair[1:] != pair[:-1]]
+                at = np.cumsum(new) - 1
+                pairs = pair[new]
+            else:
+                pairs, at = np.unique(pair, return_inverse=True)
+            of_pair = np.bincount(at, trained)
+            kinds = np.bincount(pairs >> 32, of_pair > 0)
+            c = of_pair[at]
+            opened = number[start]  # of the groups
+            cut = np.flatnonzero(opened >= 0)
+            n[cut], kinds[cut] = figures[opened[cut], 0], figures[opened[cut], 1]
+            on = np.flatnonzero(number >= 0)
+            if len(on):
+                wanted = number[on] << 32 | symbol[on]
+                where = np.minimum(np.searchsorted(open_keys, wanted), max(len(open_keys) - 1, 0))
+                c[on] = np.where(open_keys[where] == wanted, open_counts[where], 0) if len(open_keys) else 0
+            share = c / np.maximum(n, 1)[group]
+            gain = np.bincount(group[trained], np.log(share[trained] / q[trained]), len(start)) / np.maximum(n, 1)
+            gain[cut] = figures[opened[cut], 2]
+            there = (n >= least) & (columns[d][start] > 0)
+            self.levels.append({"group": group, "n": n, "kinds": kinds, "c": c, "there": there, "kept": there & (gain >= divergence), "open": opened})
+            q = share
+        for d in reversed(range(depth)):
+            level = self.levels[d]
+            if d + 1 < depth:
+                longer = self.levels[d + 1]
+                of = np.zeros(len(longer["n"]), np.int64)
+                of[longer["group"]] = level["group"]
+                level["kept"] |= np.bincount(of, longer["kept"], len(level["n"])) > 0
+            cut = np.flatnonzero(level["open"] >= 0)
+            level["kept"][cut] |= kept[level["open"][cut]]
+
+    def kept_open(self) -> np.ndarray:
+        """Numbers of the open contexts that this range retains, by their own divergence or by a longer one's."""
+        return np.concatenate([level["open"][level["kept"] & (level["open"] >= 0)] for level in self.levels])
+
+    def sums(self, discount: float) -> pa.Table:
+        """The logarithms of the rows' probabilities, added up for each document: a record for each block."""
+        p = self.p
+        for level in self.levels:  # from the root to the longest retained suffix
+            on = np.flatnonzero(level["kept"][level["group"]])
+            g = level["group"][on]
+            p[on] = (np.maximum(level["c"][on] - discount, 0) + discount * level["kinds"][g] * p[on]) / level["n"][g]
+        keys, at = np.unique(self.block << 32 | self.doc >> 1, return_inverse=True)
+        sums = np.bincount(at, np.log10(p))
+        block = keys >> 32
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        docs, sums = (np.split(x, starts[1:]) for x in (keys & 0xFFFFFFFF, sums))
+        return pa.table({"block": pa.array([self.blocks[b] for b in block[starts]], pa.int64()), "docs": _binary([packed(x) for x in docs]), "sums": _binary([x.tobytes() for x in sums])})
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, least: int = LEAST, divergence: float = DIVERGENCE, discount: float = DISCOUNT,
-          block_tokens: int = BLOCK_TOKENS, depth: int = DEPTH) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS, depth: int = DEPTH, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    kind = df.schema[id_col].dataType.simpleString()
-    cut = written(blocks(df, id_col, text_col, held, block_tokens), "lm-blocks")
-    answers, root = grow(cut, least, divergence, depth)
-
-    def run(block: pa.Table, part: pa.Table) -> pa.Table:
-        row = {c: block.column(c)[0].as_py() for c in ("words", "at", "lengths", "held", "ids")}
-        b = Block(row["words"], row["at"], row["lengths"], row["held"])
-        n_known, base, own = _scores(View(b, _answers(part), root, least, depth), divergence, discount)
-        return pa.table({"id": pa.array(row["ids"], block.schema.field("ids").type.value_type), "held_out": pa.array(row["held"]), "n_tokens": pa.array(b.lengths), "n_known": pa.array(n_known),
-                         "train_tokens": pa.array(np.full(len(b.lengths), root[0], np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    cut, cut_path = written_at(blocks(df, id_col, text_col, held, block_tokens), "lm-blocks")
+    answer = "block long, part long, counts binary, numbers binary, tokens long, words long, mass long, symbols long"
+    answers, path = written_at(_word_requests(cut).groupBy("part").applyInArrow(lambda t: _count_words(t, least), answer), "lm-words")
+    root = Root(answers.groupBy("part").agg(*[F.sum(n).alias(n) for n in ("tokens", "words", "mass", "symbols")]).collect())  # a row for each part
+    made = written(_numbered(cut, answers, root, depth), "lm-numbered")
+    remove(spark, cut_path)
+    remove(spark, path)
+    plan = _plan(made, range_tokens, depth)
+    figures, kept, asked = np.zeros((len(plan.open), 3)), np.zeros(len(plan.open), bool), None
+    if plan.open:
+        table = written(_open_requests(made, plan).groupBy("part").applyInArrow(lambda t: _count_open(t, plan, root), "range long, rows binary, figures array<array<double>>"), "lm-open")
+        asked = table.where("range >= 0").select("range", "rows")
+        each = table.where("range < 0").select(F.explode("figures").alias("f")).groupBy(F.col("f")[0].cast("long").alias("k"))
+        figures = _open_figures(plan, each.agg(*[F.sum(F.col("f")[i]) for i in range(1, 5)]).collect())  # a row for each open context
+        kept = (figures[:, 0] >= max(least, 1)) & (figures[:, 2] >= divergence)
+    grouped, shared = _chunks(made, plan), spark.sparkContext.broadcast((plan, figures, root))
+
+    def ranged(out, schema: str, kept: np.ndarray) -> DataFrame:
+        def run(chunks: pa.Table, rows: list[bytes]) -> pa.Table:
+            plan, figures, root = shared.value
+            return out(Range(chunks, rows, plan, figures, root, least, divergence, kept))
+
+        if asked is None:
+            return grouped.groupBy("range").applyInArrow(lambda chunks: run(chunks, []), schema)
+        empty = pa.table({n: pa.array([], t) for n, t in zip(*_schema(schema), strict=True)})
+        both = lambda chunks, rows: run(chunks, rows.column("rows").to_pylist()) if chunks.num_rows else empty
+        return grouped.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(both, schema)
+
+    if not kept.all():  # an open context without divergence of its own is a node if a longer one is
+        found = ranged(lambda r: pa.table({"k": pa.array(r.kept_open(), pa.int64())}), "k long", kept).distinct().collect()
+        kept = kept.copy()
+        kept[[r.k for r in found]] = True
+    sums = ranged(lambda r: r.sums(discount), "block long, docs binary, sums binary", kept)
+
+    def total(block: pa.Table, parts: pa.Table) -> pa.Table:
+        ((ids, held, lengths, known, base, own),) = _rows(block, "ids", "held", "lengths", "n_known", "base", "alone")
+        own = np.array(own)
+        for docs, x in sorted(_rows(parts, "docs", "sums")):
+            own[unpacked(docs)[0]] += np.frombuffer(x)
+        return pa.table({"id": pa.array(ids, block.schema.field("ids").type.value_type), "held_out": pa.array(held), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(known, pa.int64()),
+                         "train_tokens": pa.array(np.full(len(ids), root.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return cut.groupBy("block").cogroup(_all(answers).groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    docs = made.select("block", "ids", "held", "lengths", "n_known", "base", "alone")
+    return docs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(total, schema).withColumnRenamed("id", id_col)
+
+
+def _schema(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return tuple(zip(*[(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))], strict=True))
+
+
+def _plan(made: DataFrame, range_tokens: int, depth: int) -> Plan:
+    """Bounds from SAMPLED rows for each range, picked evenly from the blocks."""
+    rows = made.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    ranges = max(1, -(-rows // range_tokens))
+    share = SAMPLED * ranges / max(rows, 1)
+    if ranges == 1:
+        return Plan(np.empty((0, depth + 2), np.int64), 1, depth)
+    taken = F.ceil(F.col("rows") * share) * (4 * (depth + 1))
+    found = made.select("block", F.expr("picked").substr(F.lit(1), taken.cast("int")).alias("picked")).collect()  # SAMPLED rows for each range
+    sample = []
+    for r in found:
+        x = np.frombuffer(r.picked, "<u4").reshape(-1, depth + 1).astype(np.int64)
+        sample.append(np.c_[x, np.full(len(x), salt_of(r.block))])
+    return Plan(np.concatenate(sample), ranges, depth)
+
+
+def _open_figures(plan: Plan, rows: list) -> np.ndarray:
+    """Occurrences, distinct symbols and divergence of each open context."""
+    out = np.zeros((len(plan.open), 4))
+    for k, *x in rows:
+        out[k] = x
+    n = np.maximum(out[:, 0], 1)
+    up = np.array([np.log(n[plan.number[s[:-1]]]) if len(s) > 1 else 0.0 for s in plan.open])
+    return np.c_[out[:, :2], out[:, 2] / n - np.log(n) - out[:, 3] / n + up]

@@ -338,14 +338,27 @@ def test_language_model_depends_on_context(spark):
     docs = spark.createDataFrame([(i, text) for i in range(8)], DOCS)
     r = suffix_tree_lm.score(docs, held=F.col("id") == 7).where("held_out").first()
     assert r.score > 0.2 * r.base_score
-    options = [" ".join(x) for x in ("", "a", "b", "zzz")]
-    tails = spark.createDataFrame([*[(i, text) for i in range(8)], *[(10 + k, t) for k, t in enumerate(options)]], DOCS)
-    first = {x.doc_id: x for x in suffix_tree_lm.score(tails, held=F.col("id") > 7).where("held_out").collect()}
-    assert all(x.score < 0 for x in first.values())
-
-
-def tree_scores(docs, held, least, depth, divergence=0.02, discount=0.75):
-    """Scores by dictionaries, from the definition."""
+    # What may follow "a b" as the last words: each known word, an unknown one, or the end. Texts differ in the last two tokens alone.
+    ends = ["a b a", "a b b", "a b zzz", "a b"]
+    tails = spark.createDataFrame([*[(i, text) for i in range(8)], *[(10 + k, t) for k, t in enumerate(ends)], (20, "a b a x"), (21, "a b b x"), (22, "a b zzz x")], DOCS)
+    got = {x.doc_id: x.score for x in suffix_tree_lm.score(tails, held=F.col("id") > 7).where("held_out").collect()}
+    expected = tree_scores([(r.doc_id, r.text) for r in tails.collect()], set(range(10, 23)), 10, 3)
+    assert got == pytest.approx({i: expected[i] for i in got})
+    assert tree_next(["a", "b"], [(i, text) for i in range(8)], 10, 3) == pytest.approx(1)
+
+
+def tree_next(context, docs, least, depth):
+    """The sum of the probabilities of all that may follow: each known word, the end, and unknown words together."""
+    words = {w for _, t in docs for w in t.split()}
+    ask = lambda tail: tree_scores([*docs, (-1, " ".join([*context, *tail]))], {-1}, least, depth)[-1]
+    before = tree_scores([*docs, (-1, " ".join(context))], {-1}, least, depth)
+    parts = tree_scores([*docs, (-1, " ".join(context))], {-1}, least, depth, each=True)[-1]
+    assert sum(map(math.log10, parts)) == pytest.approx(before[-1]) and ask(["a"]) < 0
+    return parts[-1] + sum(tree_scores([*docs, (-1, " ".join([*context, w]))], {-1}, least, depth, each=True)[-1][len(context)] for w in [*words, "unknown word".replace(" ", "")])
+
+
+def tree_scores(docs, held, least, depth, divergence=0.02, discount=0.75, each=False):
+    """Scores by dictionaries, from the definition; with each, the probabilities of the tokens."""
     texts = {i: [*t.split(), None] for i, t in docs}
     trained = [w for i, w in texts.items() if i not in held]
     words = Counter(x for w in trained for x in w)
@@ -374,16 +387,20 @@ def tree_scores(docs, held, least, depth, divergence=0.02, discount=0.75):
         c = moves[s]
         return (max(c[a] - discount, 0) + discount * len(c) * p(s[1:], a)) / c.total()
 
-    return {i: sum(math.log10(p(tuple(w[max(0, t - depth) : t]), symbol(w[t])) * (1 if symbol(w[t]) == w[t] else base(w[t]) / rest)) for t in range(len(w))) for i, w in texts.items()}
+    probabilities = {i: [p(tuple(w[max(0, t - depth) : t]), symbol(w[t])) * (1 if symbol(w[t]) == w[t] else base(w[t]) / rest) for t in range(len(w))] for i, w in texts.items()}
+    return probabilities if each else {i: sum(map(math.log10, x)) for i, x in probabilities.items()}
 
 
-@pytest.mark.parametrize("block", [300, 100_000])
-def test_language_model_equals_dictionaries(spark, block):
+@pytest.mark.parametrize(("block", "ranged", "least", "depth"), [(300, 100, 10, 2), (100_000, 500_000, 10, 3), (300, 40, 3, 3), (1000, 150, 2, 4), (300, 100, 1, 1)])
+def test_language_model_equals_dictionaries(spark, block, ranged, least, depth):
+    """Also where ranges are far smaller than contexts, so that most contexts of one word are cut."""
     rng = random.Random(5)
     docs = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 300) + (k % 3) * (rng.random() < 0.5)}" for k in range(rng.randrange(80)))) for i in range(120)]
-    expected = tree_scores(docs, set(range(100, 120)), 10, 2)
-    found = suffix_tree_lm.score(spark.createDataFrame(docs, DOCS), held=F.col("doc_id") >= 100, block_tokens=block).collect()
-    assert {r.doc_id: r.score for r in found} == pytest.approx(expected)
+    docs += [(i, "the same long line again and again") for i in range(200, 260)]
+    for divergence in (0.02, 0.6):
+        expected = tree_scores(docs, set(range(100, 120)), least, depth, divergence)
+        found = suffix_tree_lm.score(spark.createDataFrame(docs, DOCS), held=F.col("doc_id").between(100, 119), block_tokens=block, range_tokens=ranged, least=least, depth=depth, divergence=divergence).collect()
+        assert {r.doc_id: r.score for r in found} == pytest.approx(expected)
 
 
 def test_language_model_keeps_contexts_of_small_share(spark):
