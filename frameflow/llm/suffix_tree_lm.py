@@ -6,7 +6,8 @@ one for all others, inside which a word has its share by the base model. A node'
 suffix's, the root is the base model, so the probabilities of all words, unknown ones together as one, sum to 1. A token is scored by the node of the
 longest retained suffix of the words before it.
 
-Texts become blocks of tokens once. Words have 64-bit keys, dealt by their upper bits to parts that count them and number the symbols. Then every token
+Texts become blocks of tokens once. Words have 64-bit keys, dealt by their upper bits to parts that count them and number the symbols, frequent ones first: a table of the distinct counts, fewer than the square root of twice
+the tokens, then tells each symbol's count. Then every token
 with a context becomes a row (words before it, nearest first; symbol; document), and the rows are sorted into ranges of about RANGE_TOKENS rows: in
 this order all occurrences of a context, and of all longer ones that end in it, are next to each other, so a range counts, tests and scores its own
 part of the tree and returns sums for each document. Bounds come from a sample of rows and are moved back to the start of a context where that is near.
@@ -36,7 +37,7 @@ LEAST, DIVERGENCE = 3, 0.02
 #: Most words of a context.
 DEPTH = 3
 #: Absolute discount; tokens in a block (a longer document is a block of its own); rows in a range.
-DISCOUNT, BLOCK_TOKENS, RANGE_TOKENS = 0.75, 1_000_000, 500_000
+DISCOUNT, BLOCK_TOKENS, RANGE_TOKENS = 0.75, 400_000, 300_000
 #: Parts of the words (a power of two), and rows of the sample that bounds are taken from, for each range.
 PARTS, SAMPLED = 64, 64
 
@@ -119,37 +120,53 @@ def _word_requests(cut: DataFrame) -> DataFrame:
 
 
 def _count_words(table: pa.Table, least: int) -> pa.Table:
-    """To each block the training counts of its keys of a part, and their numbers among the part's symbols (from 1; 0: no symbol). And the part's
-    training tokens, distinct words, the sum of its symbols' counts, each by one more, and its symbols."""
+    """To each block the training counts of its keys of a part, and their numbers among the part's symbols of the same count (from 0). And the part's
+    training tokens and distinct words, and how many symbols have each count."""
     table = table.sort_by("block")
     keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
     flat, ends = np.concatenate(keys), np.cumsum(list(map(len, keys)))
     distinct, at = np.unique(flat, return_inverse=True)
     c = np.bincount(at, np.concatenate([unpacked(x)[0] for x in table.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
-    own = c >= least
-    number = np.where(own, np.cumsum(own), 0)
-    figures = [[int(x), *[0] * (len(keys) - 1)] for x in (c.sum(), (c > 0).sum(), (c[own] + 1).sum(), own.sum())]
-    split = [slice(e - len(k), e) for e, k in zip(ends, keys, strict=True)]
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": _binary([c[at[s]].tobytes() for s in split]), "numbers": _binary([packed(number[at[s]]) for s in split]),
-                     **{n: pa.array(x, pa.int64()) for n, x in zip(("tokens", "words", "mass", "symbols"), figures, strict=True)}})
+    order = np.argsort(c, kind="stable")
+    number, starts = np.empty(len(c), np.int64), np.flatnonzero(np.r_[True, np.diff(c[order]) > 0])
+    number[order] = np.arange(len(c)) - np.repeat(starts, np.diff(np.r_[starts, len(c)]))
+    values, sizes = np.unique(c[c >= least], return_counts=True)
+    split, none = [slice(e - len(k), e) for e, k in zip(ends, keys, strict=True)], [None] * (len(keys) - 1)
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": _binary([packed(c[at[s]], c[at[s]] >> 32) for s in split]), "numbers": _binary([packed(np.where(c[at[s]] >= least, number[at[s]], 0)) for s in split]),
+                     **{n: pa.array([int(x), *none], pa.int64()) for n, x in (("tokens", c.sum()), ("words", (c > 0).sum()))}, **{n: _binary([x.astype(np.int64).tobytes(), *none]) for n, x in (("values", values), ("sizes", sizes))}})
 
 
 class Root:
-    """The base model, and the number of the first symbol of each part."""
-
-    def __init__(self, figures: list):
-        self.tokens, self.words, self.mass = (sum(r[n] for r in figures) for n in ("tokens", "words", "mass"))
-        sizes = [0] * PARTS
-        for r in figures:
-            sizes[r["part"]] = r["symbols"]
-        self.first = np.cumsum([0, *sizes])
-        if self.first[-1] >= 2**32 - 1:
+    """The base model, and the numbers of symbols: frequent ones first, those of equal counts by part; 0 is all other words."""
+
+    def __init__(self, figures: list, least: int):
+        self.least, self.tokens, self.words = least, sum(r["tokens"] for r in figures), sum(r["words"] for r in figures)
+        self.total, by_part = self.tokens + self.words + 1, {r["part"]: (np.frombuffer(r["values"], np.int64), np.frombuffer(r["sizes"], np.int64)) for r in figures}
+        self.values = np.unique(np.concatenate([np.empty(0, np.int64), *(v for v, _ in by_part.values())]))[::-1]
+        before = np.zeros(len(self.values), np.int64)  # symbols of the same count in the parts before
+        self.of_part = {}
+        for part in sorted(by_part):
+            values, sizes = by_part[part]
+            at = np.searchsorted(-self.values, -values)
+            self.of_part[part] = values, at, before[at].copy()
+            before[at] += sizes
+        self.first = 1 + np.cumsum(before) - before
+        if before.sum() >= 2**32 - 1:
             raise ValueError("more symbols than 32 bits number: raise least")
-        self.total = self.tokens + self.words + 1
-        self.other = max(1 - self.mass / self.total, 1e-300)  # of all words that are no symbols of their own
+        self.other = max(1 - float(((self.values + 1) * before).sum()) / self.total, 1e-300)  # of all words that are no symbols of their own
 
-    def of_symbols(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.where(symbol > 0, (count + 1.0) / self.total, self.other)
+    def symbols(self, part: int, counts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        values, at, before = self.of_part[part]
+        out, own = np.zeros(len(counts), np.uint32), counts >= self.least
+        k = np.searchsorted(values, counts[own])
+        out[own] = self.first[at[k]] + before[k] + numbers[own]
+        return out
+
+    def of_symbols(self, symbol: np.ndarray) -> np.ndarray:
+        """Probabilities of symbols."""
+        out, own = np.full(len(symbol), self.other), symbol > 0
+        out[own] = (self.values[np.searchsorted(self.first, symbol[own], "right") - 1] + 1.0) / self.total
+        return out
 
 
 def _numbered(cut: DataFrame, answers: DataFrame, root: Root, depth: int) -> DataFrame:
@@ -161,9 +178,9 @@ def _numbered(cut: DataFrame, answers: DataFrame, root: Root, depth: int) -> Dat
         ((number, at, ids, held, lengths),) = _rows(block, "block", "at", "ids", "held", "lengths")
         counts, symbols = [], []
         for part, c, s in sorted(_rows(answer, "part", "counts", "numbers")):
-            s = unpacked(s)[0].astype(np.int64)
-            counts.append(np.frombuffer(c, np.int64))
-            symbols.append(np.where(s > 0, s + root.first[part], 0).astype(np.uint32))
+            low, high = unpacked(c, 2).astype(np.int64)
+            counts.append(low | high << 32)
+            symbols.append(root.symbols(part, counts[-1], unpacked(s)[0]))
         counts, symbols, i = np.concatenate(counts), np.concatenate(symbols), unpacked(at)[0]
         starts = np.cumsum(lengths) - lengths
         base = (counts + 1.0) / root.total
@@ -171,16 +188,16 @@ def _numbered(cut: DataFrame, answers: DataFrame, root: Root, depth: int) -> Dat
         rows = Rows(symbols[i], np.array(lengths), depth)
         free = np.ones(len(i), bool)
         free[rows.at] = False
-        alone[free] += np.log10(root.of_symbols(symbols, counts))[i[free]]
+        alone[free] += np.log10(root.of_symbols(symbols))[i[free]]
         picked = np.random.default_rng(number).permutation(len(rows.at))[: len(rows.at) // 512 + 1]
         made = [c[picked] for c in rows.columns]
         add = lambda x: np.add.reduceat(x, starts)
         lists = [pa.array([add(x)]) for x in ((counts > 0)[i].astype(np.int64), np.log10(base)[i], alone)]
-        return pa.table({"block": block.column("block"), "symbols": _binary([packed(symbols)]), "counts": _binary([counts.tobytes()]), "at": block.column("at"), "ids": block.column("ids"),
+        return pa.table({"block": block.column("block"), "at": _binary([packed(symbols[i])]), "ids": block.column("ids"),
                          "held": block.column("held"), "lengths": block.column("lengths"), "n_known": lists[0], "base": lists[1], "alone": lists[2],
                          "rows": pa.array([len(rows.at)], pa.int64()), "picked": _binary([np.stack(made, axis=1).astype("<u4").tobytes()])})
 
-    schema = f"block long, symbols binary, counts binary, at binary, ids {kind}, held array<boolean>, lengths array<long>, n_known array<long>, base array<double>, alone array<double>, rows long, picked binary"
+    schema = f"block long, at binary, ids {kind}, held array<boolean>, lengths array<long>, n_known array<long>, base array<double>, alone array<double>, rows long, picked binary"
     return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -260,17 +277,17 @@ class Plan:
 
 
 def _of_block(row, depth: int):
-    """Sorted columns, keys, documents (twice the number, and 1 for training) and symbols' counts of a block's rows."""
-    block, symbols, counts, at, held, lengths = row
-    symbols, i, lengths = unpacked(symbols)[0], unpacked(at)[0], np.array(lengths)
-    rows = Rows(symbols[i], lengths, depth)
+    """Sorted columns, keys and documents (twice the number, and 1 for training) of a block's rows."""
+    block, symbols, held, lengths = row
+    lengths = np.array(lengths)
+    rows = Rows(unpacked(symbols)[0], lengths, depth)
     doc = np.repeat(np.arange(len(lengths)) * 2 + ~np.array(held, bool), lengths)[rows.at]
     keys = sort_keys(rows.columns)
     order = np.lexsort(keys[::-1])
-    return [c[order] for c in rows.columns], [k[order] for k in keys], doc[order], np.frombuffer(counts, np.int64)[i[rows.at[order]]]
+    return [c[order] for c in rows.columns], [k[order] for k in keys], doc[order]
 
 
-_BLOCK = ("block", "symbols", "counts", "at", "held", "lengths")
+_BLOCK = ("block", "at", "held", "lengths")
 
 
 def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
@@ -279,19 +296,19 @@ def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in _rows(batch, *_BLOCK):
-                columns, keys, doc, count = _of_block(row, plan.depth)
+                columns, keys, doc = _of_block(row, plan.depth)
                 ends = cuts(keys, salt_of(row[0]), plan.bounds)
                 place = np.searchsorted(ends, np.arange(len(doc)), "right")
                 found = []
                 for number in plan.numbers(columns):
                     on = np.flatnonzero(number >= 0)
-                    found.append(np.stack([columns[-1][on].astype(np.int64), number[on], place[on], count[on], doc[on] & 1]))
+                    found.append(np.stack([columns[-1][on].astype(np.int64), number[on], place[on], doc[on] & 1]))
                 rows = np.concatenate(found, axis=1)
                 if not rows.shape[1]:
                     continue
                 rows = rows[:, np.lexsort(rows[:3])]
                 new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
-                rows = np.concatenate([rows[:4, new], np.add.reduceat(rows[4], new)[None]])
+                rows = np.concatenate([rows[:3, new], np.add.reduceat(rows[3], new)[None]])
                 part = (mixed(rows[0].astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
                 for p in np.unique(part).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), _binary([rows[:, part == p].tobytes()])], ["part", "rows"])
@@ -302,13 +319,13 @@ def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
 def _count_open(table: pa.Table, plan: Plan, root: Root) -> pa.Table:
     """To each range the counts of its symbols after open contexts (range, context, symbol, count), and as range -1 summands of each context's
     figures: occurrences, distinct symbols, and sums of c ln c and of c ln q, where q is the suffix's count or the root's probability."""
-    symbol, number, place, count, c = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in table.column("rows").to_pylist()], axis=1)
+    symbol, number, place, c = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("rows").to_pylist()], axis=1)
     key = number.astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64)
-    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    distinct, at = np.unique(key, return_inverse=True)
     total = np.bincount(at, c).astype(np.int64)
     context, symbols = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
     up = np.array([plan.number[s[:-1]] if len(s) > 1 else -1 for s in plan.open])[context]
-    q = root.of_symbols(symbols, count[first])
+    q = root.of_symbols(symbols)
     below = np.flatnonzero(up >= 0)
     q[below] = total[np.searchsorted(distinct, up[below].astype(np.uint64) << np.uint64(32) | symbols[below])]
     own, c = np.unique(context), np.maximum(total, 1)  # of symbols without training tokens here only the range hears
@@ -327,10 +344,10 @@ def _chunks(made: DataFrame, plan: Plan) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in _rows(batch, *_BLOCK):
-                columns, keys, doc, count = _of_block(row, plan.depth)
+                columns, keys, doc = _of_block(row, plan.depth)
                 ends = np.r_[0, cuts(keys, salt_of(row[0]), plan.bounds), len(doc)]
                 there = np.flatnonzero(ends[:-1] < ends[1:])
-                data = [packed(*[c[ends[k] : ends[k + 1]] for c in (*columns, doc, count & 0xFFFFFFFF, count >> 32)]) for k in there]
+                data = [packed(*[c[ends[k] : ends[k + 1]] for c in (*columns, doc)]) for k in there]
                 yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row[0]] * len(there), pa.int64()), _binary(data)], ["range", "block", "data"])
 
     return made.select(*_BLOCK).mapInArrow(run, "range long, block long, data binary")
@@ -342,14 +359,14 @@ class Range:
     def __init__(self, chunks: pa.Table, answers: list[bytes], plan: Plan, figures: np.ndarray, root: Root, least: int, divergence: float, kept: np.ndarray):
         depth, least = plan.depth, max(least, 1)
         self.blocks = chunks.column("block").to_pylist()
-        parts = [unpacked(x, depth + 4) for x in chunks.column("data").to_pylist()]
+        parts = [unpacked(x, depth + 2) for x in chunks.column("data").to_pylist()]
         self.block = np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
         rows = np.concatenate(parts, axis=1)
         del parts
         order = np.lexsort(sort_keys(list(rows[: depth + 1]))[::-1])
         columns, self.doc, self.block = list(rows[: depth + 1, order]), rows[depth + 1, order], self.block[order]
         symbol, trained = columns[-1].astype(np.int64), self.doc & 1 > 0
-        self.p = root.of_symbols(symbol, rows[depth + 2, order].astype(np.int64) | rows[depth + 3, order].astype(np.int64) << 32)
+        self.p = root.of_symbols(symbol)
         del rows, order
         totals = np.concatenate([np.frombuffer(a, np.int64).reshape(3, -1) for a in answers], axis=1) if answers else np.empty((3, 0), np.int64)
         open_keys = totals[0] << 32 | totals[1]
@@ -420,9 +437,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     cut, cut_path = written_at(blocks(df, id_col, text_col, held, block_tokens), "lm-blocks")
-    answer = "block long, part long, counts binary, numbers binary, tokens long, words long, mass long, symbols long"
+    answer = "block long, part long, counts binary, numbers binary, tokens long, words long, values binary, sizes binary"
     answers, path = written_at(_word_requests(cut).groupBy("part").applyInArrow(lambda t: _count_words(t, least), answer), "lm-words")
-    root = Root(answers.groupBy("part").agg(*[F.sum(n).alias(n) for n in ("tokens", "words", "mass", "symbols")]).collect())  # a row for each part
+    root = Root(answers.where("tokens IS NOT NULL").select("part", "tokens", "words", "values", "sizes").collect(), least)  # a row for each part
     made = written(_numbered(cut, answers, root, depth), "lm-numbered")
     remove(spark, cut_path)
     remove(spark, path)
