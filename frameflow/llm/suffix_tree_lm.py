@@ -38,8 +38,10 @@ LEAST, DIVERGENCE = 3, 0.02
 DEPTH = 3
 #: Absolute discount; tokens in a block (a longer document is a block of its own); rows in a range.
 DISCOUNT, BLOCK_TOKENS, RANGE_TOKENS = 0.75, 400_000, 300_000
-#: Parts of the words (a power of two), and rows of the sample that bounds are taken from, for each range.
-PARTS, SAMPLED = 64, 64
+#: Parts of the words (a power of two): so many at least, and more where a part would have those of more blocks than this.
+PARTS, PART_BLOCKS = 64, 20
+#: Rows of the sample that bounds are taken from, for each range.
+SAMPLED = 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MEMO = WordHashes()
@@ -102,7 +104,7 @@ def _binary(values) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def _word_requests(cut: DataFrame) -> DataFrame:
+def _word_requests(cut: DataFrame, count: int) -> DataFrame:
     """Each block's distinct words with its training counts, a record for each part."""
 
     def run(batches):
@@ -111,8 +113,8 @@ def _word_requests(cut: DataFrame) -> DataFrame:
                 keys = np.frombuffer(words, np.uint64)
                 trained = np.repeat(~np.array(held, bool), lengths)
                 counts = np.bincount(unpacked(at)[0][trained], minlength=len(keys))
-                ends = np.r_[0, np.searchsorted(keys >> np.uint64(65 - PARTS.bit_length()), np.arange(PARTS), "right")]
-                parts = [p for p in range(PARTS) if ends[p] < ends[p + 1]]
+                ends = np.r_[0, np.searchsorted(keys >> np.uint64(65 - count.bit_length()), np.arange(count), "right")]
+                parts = [p for p in range(count) if ends[p] < ends[p + 1]]
                 cut = [slice(ends[p], ends[p + 1]) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([block] * len(parts), pa.int64()), _binary([keys[c].tobytes() for c in cut]), _binary([packed(counts[c]) for c in cut])], ["part", "block", "keys", "counts"])
 
@@ -290,7 +292,7 @@ def _of_block(row, depth: int):
 _BLOCK = ("block", "at", "held", "lengths")
 
 
-def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
+def _open_requests(made: DataFrame, plan: Plan, count: int) -> DataFrame:
     """Training counts of the symbols after open contexts, by range; a record for each part (of symbols) and block."""
 
     def run(batches):
@@ -309,7 +311,7 @@ def _open_requests(made: DataFrame, plan: Plan) -> DataFrame:
                 rows = rows[:, np.lexsort(rows[:3])]
                 new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
                 rows = np.concatenate([rows[:3, new], np.add.reduceat(rows[3], new)[None]])
-                part = (mixed(rows[0].astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+                part = (mixed(rows[0].astype(np.uint64)) % np.uint64(count)).astype(np.int64)
                 for p in np.unique(part).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), _binary([rows[:, part == p].tobytes()])], ["part", "rows"])
 
@@ -438,7 +440,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     cut, cut_path = written_at(blocks(df, id_col, text_col, held, block_tokens), "lm-blocks")
     answer = "block long, part long, counts binary, numbers binary, tokens long, words long, values binary, sizes binary"
-    answers, path = written_at(_word_requests(cut).groupBy("part").applyInArrow(lambda t: _count_words(t, least), answer), "lm-words")
+    parts = max(PARTS, 1 << (cut.count() // PART_BLOCKS).bit_length())
+    answers, path = written_at(_word_requests(cut, parts).groupBy("part").applyInArrow(lambda t: _count_words(t, least), answer), "lm-words")
     root = Root(answers.where("tokens IS NOT NULL").select("part", "tokens", "words", "values", "sizes").collect(), least)  # a row for each part
     made = written(_numbered(cut, answers, root, depth), "lm-numbered")
     remove(spark, cut_path)
@@ -446,7 +449,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=No
     plan = _plan(made, range_tokens, depth)
     figures, kept, asked = np.zeros((len(plan.open), 3)), np.zeros(len(plan.open), bool), None
     if plan.open:
-        table = written(_open_requests(made, plan).groupBy("part").applyInArrow(lambda t: _count_open(t, plan, root), "range long, rows binary, figures array<array<double>>"), "lm-open")
+        table = written(_open_requests(made, plan, parts).groupBy("part").applyInArrow(lambda t: _count_open(t, plan, root), "range long, rows binary, figures array<array<double>>"), "lm-open")
         asked = table.where("range >= 0").select("range", "rows")
         each = table.where("range < 0").select(F.explode("figures").alias("f")).groupBy(F.col("f")[0].cast("long").alias("k"))
         figures = _open_figures(plan, each.agg(*[F.sum(F.col("f")[i]) for i in range(1, 5)]).collect())  # a row for each open context
