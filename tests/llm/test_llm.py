@@ -197,7 +197,7 @@ def test_line_dedup(spark):
     found = {(r.doc_id, r.line_no): (r.first_id, r.first_line_no) for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS)).collect()}
     places = [(i, k, re.sub(r"\s+", " ", line).strip(" ")) for i, t in docs for k, line in enumerate(t.split("\n"))]
     distinct = list(dict.fromkeys(line for _, _, line in places if line))
-    sets = [{x.lower()[k : k + 10] for k in range(max(1, len(x) - 9))} for x in distinct]
+    sets = [{x.lower()[k : k + 5] for k in range(max(1, len(x) - 4))} for x in distinct]
     root = list(range(len(distinct)))
 
     def find(x):
@@ -221,18 +221,30 @@ def test_line_dedup(spark):
     assert wrong <= 0.02 * len(places)
 
 
-@pytest.mark.parametrize("block", [130, None])
+@pytest.mark.parametrize("block", [130, 100_000])
 def test_line_dedup_compares_all_of_a_bucket(spark, block, monkeypatch):
-    """X, A, Y, B in one bucket, with only A and B alike: neither is first nor next to the other."""
+    """One bucket of 40 lines of which pairs are alike, none of them with its first line: each pair is found."""
     rng = random.Random(3)
-    x, a, y = ("".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(3))
-    docs = list(enumerate((x, a, y, a[:60] + "z" + a[61:])))
-    number, write = F.create_map(*[F.lit(v) for k, t in docs for v in (t, k)]), line_dedup.written
-    monkeypatch.setattr(line_dedup, "written", lambda df, name: write(df.withColumn("_l", F.element_at(number, F.col("_line")).cast("long")) if name == "lines" else df, name))
-    one = "_l", "1L AS _b", "first(_l) OVER (ORDER BY _l) AS _f", "lag(_l) OVER (ORDER BY _l) AS _p", "count(_l) OVER () AS _m"
-    monkeypatch.setattr(line_dedup, "_buckets", lambda lines, n: write(lines.selectExpr(*one), "one-bucket"))
-    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS).coalesce(1), **({"block_characters": block} if block else {})).collect()}
-    assert found == {0: 0, 1: 1, 2: 2, 3: 1}
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(20)]
+    docs = list(enumerate([*lines, *(x[:60] + "z" + x[61:] for x in lines)]))
+    write = line_dedup.written
+    monkeypatch.setattr(line_dedup, "_buckets", lambda lines: write(lines.selectExpr("_l", "1L AS _b", "min(_l) OVER () AS _first", "count(_l) OVER () AS _size"), "one-bucket"))
+    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS), block_characters=block).collect()}
+    assert found == {i: i % 20 for i in range(40)}
+
+
+def test_line_dedup_recall_in_large_buckets(spark):
+    """600 lines of three templates, 100 characters of each the same: of the pairs that are similar, those put in one component."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeinorstlmduc") for _ in range(rng.randrange(3, 9)))
+    heads = [" ".join(word() for _ in range(16))[:100] for _ in range(3)]
+    docs = [(i, heads[i % 3] + " " + " ".join(word() for _ in range(rng.choice([1, 2, 4, 8])))) for i in range(600)]
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for _, t in docs]
+    root = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS)).collect()}
+    pairs = [(a, b) for a in range(600) for b in range(a % 3, a, 3) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    joined = sum(root[a] == root[b] for a, b in pairs)
+    print("similar pairs", len(pairs), "joined", joined)
+    assert len(pairs) > 1000 and joined >= 0.999 * len(pairs)
 
 
 @pytest.mark.parametrize(("least", "how"), [(49, {}), (30, {"n": 3})])
