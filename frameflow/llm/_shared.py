@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Entries a worker's memo of word hashes may hold; beyond it the memo starts anew (results do not change).
 MEMO = 200_000
 
+#: Bytes that a writer of such a table holds before it writes them.
+ROW_GROUP = 32 << 20
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -39,7 +42,7 @@ def save(df: DataFrame, path: str) -> None:
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         conf.set(key, before)
 

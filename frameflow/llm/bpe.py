@@ -70,6 +70,9 @@ class PairIndexBpe:
         self.marked = self._special.search if self._special else lambda text: None
         whole = Tokenizer.from_file(path)
         self._normalize, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        marks = [f"a{c}b{c}{c}1{c}'s{c}" for c in map(chr, range(33, 256)) if _PLAIN(c)]
+        if any(plain_pieces(x) != [p.lower() for p in _spelled_back(self._split(self._normalize(x)))] for x in marks):
+            raise ValueError("this tokenizer file normalises or splits text in a way that is not supported")
         byte_char = _byte_characters()
         self._byte = {c: b for b, c in enumerate(byte_char)}
         self.inner = np.array([vocab[c] for c in byte_char], np.int64)
@@ -190,6 +193,12 @@ def encode_by_unit(texts: list[str], memo: dict[str, bytes], learn, marked, most
     return [b"".join(map(memo.__getitem__, units)) for units in split]
 
 
+def _spelled_back(pieces) -> list[str]:
+    """The text of pieces that are written in byte characters."""
+    byte = {c: b for b, c in enumerate(_byte_characters())}
+    return [bytes(map(byte.__getitem__, piece)).decode() for piece, _ in pieces]
+
+
 def _byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable, else the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}

@@ -140,7 +140,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def _scan(df: DataFrame, known: Items, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(known)
     names = [id_col, *carry]
-    kept = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in names])
+    rest = [c for c in names if c != text_col]  # the text is sent once, carried or not
+    kept = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, 0):
@@ -148,7 +149,8 @@ def _scan(df: DataFrame, known: Items, id_col: str, text_col: str, carry: list[s
             for t in texts:
                 h = word_hashes(t)
                 rows.append(_verdict(h, *shared.value.hits(h)))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *_columns(rows)], [*names, *[c.split()[0] for c in _SCHEMA.split(", ")]])
+            held = dict(zip([text_col, *rest], part.columns, strict=True))
+            yield pa.RecordBatch.from_arrays([*[held[c] for c in names], *_columns(rows)], [*names, *[c.split()[0] for c in _SCHEMA.split(", ")]])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     return kept.mapInArrow(run, f"{kinds}, {_SCHEMA}")
@@ -160,28 +162,29 @@ def _join(df: DataFrame, items: DataFrame, id_col: str, text_col: str, carry: li
     Rows get an own key, so that repeated or null ids do no harm; keyed rows are written first, so the keys hold if an executor is lost.
     """
     names = [id_col, *carry]
-    docs = written(df.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in names]), "decontam-docs")
+    rest = [c for c in names if c != text_col]
+    docs = written(df.select(F.monotonically_increasing_id().alias("_key"), F.col(f"`{text_col}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")), "decontam-docs")
     bench = written(items.select(F.monotonically_increasing_id().alias("_item"), "item", "itext"), "decontam-items")
     lengths = sorted(r[0] for r in _prints(bench, "_item", "itext", window, gram, None).select("n").distinct().collect())
     short = [n for n in lengths if n < window]  # at most window - 1 numbers
-    a = _prints(docs, "_row", "_text", window, gram, short).distinct()
+    a = _prints(docs, "_key", "_text", window, gram, short).distinct()
     b = _prints(bench, "_item", "itext", window, gram, None).distinct()
-    pairs = a.join(b, ["n", "print"]).select("_row", "_item").distinct()
-    near = pairs.join(bench, "_item").join(docs.select("_row", "_text"), "_row")
+    pairs = a.join(b, ["n", "print"]).select("_key", "_item").distinct()
+    near = pairs.join(bench, "_item").join(docs.select("_key", "_text"), "_key")
 
     def extend(batches):
         for batch in batches:
-            out = {"_row": [], "item": [], "hit": []}
-            for row, item, itext, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "item", "itext", "_text")), strict=True):
+            out = {"_key": [], "item": [], "hit": []}
+            for row, item, itext, text in zip(*(batch.column(c).to_pylist() for c in ("_key", "item", "itext", "_text")), strict=True):
                 hit, found = Items([(item, itext)], window, gram).hits(word_hashes(text))
                 if found:
                     edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-                    out["_row"].append(row), out["item"].append(item), out["hit"].append(edges.tolist())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_row", pa.int64()), ("item", pa.string()), ("hit", pa.list_(pa.int64()))]))
+                    out["_key"].append(row), out["item"].append(item), out["hit"].append(edges.tolist())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_key", pa.int64()), ("item", pa.string()), ("hit", pa.list_(pa.int64()))]))
 
-    spans = near.select("_row", "item", "itext", "_text").mapInArrow(extend, "_row long, item string, hit array<long>")
-    found = spans.groupBy("_row").agg(F.collect_set("item").alias("_items"), F.flatten(F.collect_set("hit")).alias("_hit"))
-    kept = docs.join(found, "_row", "left").select("_text", "_items", "_hit", *[F.col(f"`{c}`") for c in names])
+    spans = near.select("_key", "item", "itext", "_text").mapInArrow(extend, "_key long, item string, hit array<long>")
+    found = spans.groupBy("_key").agg(F.collect_set("item").alias("_items"), F.flatten(F.collect_set("hit")).alias("_hit"))
+    kept = docs.join(found, "_key", "left").select("_text", "_items", "_hit", *[F.col(f"_rest.`{c}`") for c in rest])
 
     def judge(batches):
         for part, texts in text_batches(batches, 0):
@@ -192,7 +195,8 @@ def _join(df: DataFrame, items: DataFrame, id_col: str, text_col: str, carry: li
                 np.add.at(cover, np.array((edges or [])[::2], np.int64), 1)
                 np.add.at(cover, np.array((edges or [])[1::2], np.int64), -1)
                 rows.append(_verdict(h, np.cumsum(cover[:-1]) > 0, set(found or ())))
-            yield pa.RecordBatch.from_arrays([*part.columns[3:], *_columns(rows)], [*names, *[c.split()[0] for c in _SCHEMA.split(", ")]])
+            held = dict(zip([text_col, *rest], [part.column(0), *part.columns[3:]], strict=True))
+            yield pa.RecordBatch.from_arrays([*[held[c] for c in names], *_columns(rows)], [*names, *[c.split()[0] for c in _SCHEMA.split(", ")]])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     return kept.mapInArrow(judge, f"{kinds}, {_SCHEMA}")

@@ -14,7 +14,7 @@ blocks of bounded size: first every block meets the members that share most sign
 No set of pairs is ever written: a task returns at most one link for each member and part.
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and are their own component. Repeated rows are
-copies of each other. A null id takes part, but a component's id is null only if no member has an id. Other columns are ignored.
+copies of each other. A row with a null id is linked with nothing, and its component is null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WordHashes, components, gram_hashes, mixed, remove, written, written_at
@@ -94,8 +94,8 @@ class PartEnum:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, key, sketch, sigs): size and 128-bit key of each set, and its sketch and signatures where a task sees the set first. key is null for
-    sets that take no part."""
+    """(id, tag, n, key, sketch, sigs): hash of the text, size and 128-bit key of each set, and its sketch and signatures where a task sees the set
+    first. key is null for sets that take no part."""
 
     def run(batches):
         plan, seen = PartEnum(num, den), set()
@@ -112,10 +112,16 @@ def _sets(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int)
                 seen.add(key)
             ends = pa.array(np.cumsum([0, *map(len, sigs)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), lists], ["id", "n", "key", "sketch", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), lists], ["id", "tag", "n", "key", "sketch", "sigs"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, key binary, sketch binary, sigs array<long>")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_tag(F.col(text_col)).alias("tag"))
+    return rows.mapInArrow(run, f"id {kind}, tag binary, n long, key binary, sketch binary, sigs array<long>")
+
+
+def text_tag(text: Column) -> Column:
+    """128 bits of a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def set_key(features: np.ndarray) -> bytes:
@@ -132,16 +138,22 @@ def sketch(features: np.ndarray) -> bytes:
 def linked_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links of similarity num / den or more)."""
+    found = linked_rows(df, n, num, den, id_col, text_col, block_shingles)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def linked_rows(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, tag, n, component, root) for each row: tag tells rows that share an id apart by their texts, root components that share a smallest id;
+    it is null for rows that take no part."""
     signed, path = written_at(_sets(df, id_col, text_col, n, num, den), "jaccard-sets")
     groups = _shared_signatures(signed)
     sets = written(signed.drop("sigs"), "jaccard-keys")
     remove(df.sparkSession, path)
     classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     labels = _labels(df, sets, classes, groups, n, num, den, id_col, text_col, block_shingles)
-    labelled = classes.join(labels, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    found = sets.select("id", "n", "key").where("key IS NOT NULL").join(labelled, "key").select("id", "n", "component")
-    alone = sets.where("key IS NULL").select("id", "n", F.col("id").alias("component"))
-    return found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    labelled = classes.join(labels, "key", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "key").alias("root"))
+    found = sets.select("id", "tag", "n", "key").where("key IS NOT NULL").join(labelled, "key").select("id", "tag", "n", "component", "root")
+    return found.union(sets.where("key IS NULL").select("id", "tag", "n", F.col("id").alias("component"), F.col("key").alias("root")))
 
 
 def _shared_signatures(sets: DataFrame) -> DataFrame:
@@ -156,7 +168,7 @@ def _shared_signatures(sets: DataFrame) -> DataFrame:
 
 
 def _labels(df, sets, classes, groups, n, num, den, id_col, text_col, block_shingles) -> DataFrame:
-    """(key, component) of the classes that share signatures with others."""
+    """(key, component, root) of the classes that share signatures with others."""
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("first"))
     beside = groups.join(sizes, "g")
     score = beside.groupBy("k").agg(F.sum("m").alias("score"))
@@ -179,7 +191,7 @@ def _labels(df, sets, classes, groups, n, num, den, id_col, text_col, block_shin
         links = links.union(_remaining(members.where("blocks > 1"), links, n, num, den, block_shingles))
     roots = components(links)
     named = chosen.join(roots, chosen["key"] == roots["node"]).select("key", "rep", "root")
-    return named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("key", "component")
+    return named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("key", "component", "root")
 
 
 def _near(beside: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

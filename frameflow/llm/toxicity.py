@@ -7,7 +7,7 @@ more. A logistic regression on these counts gives the score.
 
 The fit takes at most SAMPLE labelled documents (half of each kind where there are so many, weighted back to their true share), chosen by a hash of
 their id; everything else covers all rows. Defined results: null and empty texts have no hits and get the score of such texts; a document
-labelled twice counts as toxic if any label says so; null labels and labels of unknown documents are ignored; without labels of both kinds fixed
+labelled twice counts as toxic if any label says so, and so do labelled documents of equal text; null labels and labels of unknown documents are ignored; without labels of both kinds fixed
 weights are used. Other columns are ignored unless named in carry.
 """
 
@@ -145,7 +145,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return Model(Lexicon(list(TERMS), []), WEIGHTS)
     order = F.xxhash64("_id"), "_id"
     chosen = known.where("_y").orderBy(*order).limit(sample // 2).union(known.where("NOT _y").orderBy(*order).limit(sample // 2))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_y").dropDuplicates(["_text"])  # sample rows at most
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_text").agg(F.max("_y").alias("_y"))  # sample rows at most; of equal texts any label that says so
     rows = written(rows, "toxicity-sample")
     lexicon = Lexicon(list(TERMS), _needed(rows, _stems(rows)))
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
@@ -246,11 +246,13 @@ def logistic(x: np.ndarray, y: np.ndarray, totals: dict[bool, int], ridge: float
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row: id, score, predicted, and the columns named in carry. One pass, no shuffle."""
     shared, names = df.sparkSession.sparkContext.broadcast(model), [id_col, *(carry or [])]
+    rest = [c for c in names if c != text_col]  # the text is sent once, carried or not
 
     def run(batches):
         for part, texts in text_batches(batches, 0):
             scores = [shared.value.score(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
+            held = dict(zip([text_col, *rest], part.columns, strict=True))
+            yield pa.RecordBatch.from_arrays([*[held[c] for c in names], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, f"{kinds}, score double, predicted int")

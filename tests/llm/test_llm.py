@@ -448,3 +448,27 @@ def test_queries(spark, name):
         against_sql(spark, queries.QUERIES[name], queries.SQL[name])
     else:
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_near_copies_are_judged_by_row(spark):
+    """Rows that share a doc_id are told apart by their texts, and components that share a smallest id by their members."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (7, a + " z"), (7, b), (8, b + " z"), (9, None), (None, a)], DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (7, b), (9, None), (None, a)], key=repr)
+
+
+def test_toxicity_of_equal_texts_with_different_labels(spark):
+    docs = spark.createDataFrame([(i, f"plain text {i % 3}") for i in range(1, 40)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 40)], "doc_id long, toxic int")
+    scores = {tuple(r.score for r in toxicity.score(docs.repartition(n), toxicity.fit(docs.repartition(n), labels)).orderBy("doc_id").collect()) for n in (1, 7)}
+    assert len(scores) == 1
+
+
+def test_digests(spark, odd, library):
+    found = sorted(map(tuple, bpe.digests(odd, queries.word_bpe()).collect()), key=repr)
+    wanted = []
+    for r in odd.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        wanted.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert found == sorted(wanted, key=repr)
