@@ -18,28 +18,28 @@ def _one(name, value, df, x, order_by, partition_by, min_periods, default, outpu
     series = Series.expanding(order_by, partition_by, min_periods, default)
 
     def build(columns, w):
-        n = F.count(columns[0]).over(w)
+        n = w(F.count(columns[0]))
         return {output or f"expanding_{name}_{x}": F.when(enough(n, series.min_periods), value(columns[0], n, w))}
 
     return apply(df, series, [x], build, nan_output)
 
 
 def expanding_mean(df, x, order_by, partition_by=None, min_periods=1, output=None, nan_output=False) -> DataFrame:
-    return _one("mean", lambda v, n, w: F.avg(v).over(w), df, x, order_by, partition_by, min_periods, 1, output, nan_output)
+    return _one("mean", lambda v, n, w: w(F.avg(v)), df, x, order_by, partition_by, min_periods, 1, output, nan_output)
 
 
 def expanding_sum(df, x, order_by, partition_by=None, min_periods=1, output=None, nan_output=False) -> DataFrame:
-    return _one("sum", lambda v, n, w: F.sum(v).over(w), df, x, order_by, partition_by, min_periods, 1, output, nan_output)
+    return _one("sum", lambda v, n, w: w(F.sum(v)), df, x, order_by, partition_by, min_periods, 1, output, nan_output)
 
 
 def expanding_var(df, x, order_by, partition_by=None, min_periods=2, ddof=1, output=None, nan_output=False) -> DataFrame:
     one = _ddof(ddof)
-    return _one("var", lambda v, n, w: F.when(n > one, (F.var_samp if one else F.var_pop)(v).over(w)), df, x, order_by, partition_by, min_periods, 2, output, nan_output)
+    return _one("var", lambda v, n, w: F.when(n > one, w((F.var_samp if one else F.var_pop)(v))), df, x, order_by, partition_by, min_periods, 2, output, nan_output)
 
 
 def expanding_std(df, x, order_by, partition_by=None, min_periods=2, ddof=1, output=None, nan_output=False) -> DataFrame:
     one = _ddof(ddof)
-    return _one("std", lambda v, n, w: F.when(n > one, (F.stddev_samp if one else F.stddev_pop)(v).over(w)), df, x, order_by, partition_by, min_periods, 2, output, nan_output)
+    return _one("std", lambda v, n, w: F.when(n > one, w((F.stddev_samp if one else F.stddev_pop)(v))), df, x, order_by, partition_by, min_periods, 2, output, nan_output)
 
 
 def expanding_regression(df, y, order_by, partition_by=None, min_periods=2, time_as_x=True, output=None, nan_output=False) -> DataFrame:
@@ -53,8 +53,8 @@ def expanding_regression(df, y, order_by, partition_by=None, min_periods=2, time
     def build(columns, w):
         v = columns[0]
         t = F.when(v.isNotNull(), F.col(place))
-        n = F.count(v).over(w)
-        made = regression_columns(n.cast("double"), F.avg(t).over(w), F.avg(v).over(w), F.var_pop(t).over(w), F.var_pop(v).over(w), F.covar_pop(t, v).over(w), n >= max(series.min_periods, 2))
+        n = w(F.count(v))
+        made = regression_columns(n.cast("double"), w(F.avg(t)), w(F.avg(v)), w(F.var_pop(t)), w(F.var_pop(v)), w(F.covar_pop(t, v)), n >= max(series.min_periods, 2))
         return {f"{name}_{k}": c for k, c in made.items()}
 
     rows = df.withColumn(place, (F.row_number().over(series.spec()) - 1).cast("double"))

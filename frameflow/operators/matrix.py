@@ -23,7 +23,7 @@ def _columns(name, value, df, columns, window, order_by, partition_by, min_perio
     def build(cleaned, w):
         made = {}
         for c, v in zip(columns, cleaned, strict=True):
-            n = F.count(v).over(w)
+            n = w(F.count(v))
             gate = enough(n, series.min_periods) if skip_nan else clean(count_rows(w), n, series.min_periods)
             made[f"{name}_{c}"] = F.when(gate, value(v, n, w))
         return made
@@ -32,24 +32,24 @@ def _columns(name, value, df, columns, window, order_by, partition_by, min_perio
 
 
 def rolling_mean_2d(df, columns, window, order_by, partition_by=None, min_periods=None, nan_output=False, layout="series") -> DataFrame:
-    return _columns("mean", lambda v, n, w: F.avg(v).over(w), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
+    return _columns("mean", lambda v, n, w: w(F.avg(v)), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
 
 
 def rolling_sum_2d(df, columns, window, order_by, partition_by=None, min_periods=None, nan_output=False, layout="series") -> DataFrame:
-    return _columns("sum", lambda v, n, w: F.sum(v).over(w), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
+    return _columns("sum", lambda v, n, w: w(F.sum(v)), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
 
 
 def rolling_std_2d(df, columns, window, order_by, partition_by=None, min_periods=None, ddof=1, nan_output=False, layout="series") -> DataFrame:
     one = _ddof(ddof)
-    return _columns("std", lambda v, n, w: F.when(n > one, (F.stddev_samp if one else F.stddev_pop)(v).over(w)), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
+    return _columns("std", lambda v, n, w: F.when(n > one, w((F.stddev_samp if one else F.stddev_pop)(v))), df, columns, window, order_by, partition_by, min_periods, False, nan_output, layout)
 
 
 def rolling_min_2d(df, columns, window, order_by, partition_by=None, min_periods=None, skip_nan=False, nan_output=False, layout="series") -> DataFrame:
-    return _columns("min", lambda v, n, w: F.min(v).over(w), df, columns, window, order_by, partition_by, min_periods, skip_nan, nan_output, layout)
+    return _columns("min", lambda v, n, w: w(F.min(v)), df, columns, window, order_by, partition_by, min_periods, skip_nan, nan_output, layout)
 
 
 def rolling_max_2d(df, columns, window, order_by, partition_by=None, min_periods=None, skip_nan=False, nan_output=False, layout="series") -> DataFrame:
-    return _columns("max", lambda v, n, w: F.max(v).over(w), df, columns, window, order_by, partition_by, min_periods, skip_nan, nan_output, layout)
+    return _columns("max", lambda v, n, w: w(F.max(v)), df, columns, window, order_by, partition_by, min_periods, skip_nan, nan_output, layout)
 
 
 def _checked(columns) -> list[str]:
@@ -62,7 +62,7 @@ def _checked(columns) -> list[str]:
 def _pairs(cleaned, series: Series, w) -> dict[tuple[int, int], object]:
     """A frame without gaps in both columns is valid for the pair, so moments of single columns are shared by all pairs."""
     m = count_rows(w)
-    open_ = [clean(m, F.count(v).over(w), series.min_periods) for v in cleaned]
+    open_ = [clean(m, w(F.count(v)), series.min_periods) for v in cleaned]
     return {(i, j): F.when(open_[i] & open_[j], correlation(cleaned[i], cleaned[j], m, w)) for i, j in combinations(range(len(cleaned)), 2)}
 
 

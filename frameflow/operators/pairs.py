@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import finite
 from ..plans.frames import OWN, Series, check_columns, clean
-from ._apply import apply, count_rows
+from ._apply import Frame, apply, count_rows
 from .rolling import _ddof
 
 #: A side is constant where its variance is this little beside its mean square; sums below the second one give no regression.
@@ -28,17 +28,17 @@ def clamp(v: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), v))
 
 
-def correlation(x: Column, y: Column, n: Column, w: WindowSpec) -> Column:
+def correlation(x: Column, y: Column, n: Column, w: Frame) -> Column:
     """Pearson correlation of columns that are NULL on the same rows."""
-    vx, vy = F.var_pop(x).over(w), F.var_pop(y).over(w)
-    spread = (vx > F.avg(x * x).over(w) * CONSTANT) & (vy > F.avg(y * y).over(w) * CONSTANT)
-    return F.when((n >= 2) & spread, clamp(F.covar_pop(x, y).over(w) / F.sqrt(vx * vy), -1.0, 1.0))
+    vx, vy = w(F.var_pop(x)), w(F.var_pop(y))
+    spread = (vx > w(F.avg(x * x)) * CONSTANT) & (vy > w(F.avg(y * y)) * CONSTANT)
+    return F.when((n >= 2) & spread, clamp(w(F.covar_pop(x, y)) / F.sqrt(vx * vy), -1.0, 1.0))
 
 
 def _pair(df, x, y, series: Series, skip_nan: bool, nan_output: bool, layout: str, value) -> DataFrame:
     def build(columns, w):
         a, b = both_valid(*columns)
-        n = F.count(a).over(w)
+        n = w(F.count(a))
         gate = (n >= series.min_periods) if skip_nan else clean(count_rows(w), n, series.min_periods)
         return {name: F.when(gate, v) for name, v in value(a, b, n, w).items()}
 
@@ -48,7 +48,7 @@ def _pair(df, x, y, series: Series, skip_nan: bool, nan_output: bool, layout: st
 def rolling_cov(df, x, y, window, order_by, partition_by=None, min_periods=None, ddof=1, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
     one = _ddof(ddof)
     series = Series.rolling(order_by, partition_by, window, min_periods)
-    return _pair(df, x, y, series, skip_nan, nan_output, layout, lambda a, b, n, w: {output or f"cov_{x}_{y}": F.when(n > one, (F.covar_samp if one else F.covar_pop)(a, b).over(w))})
+    return _pair(df, x, y, series, skip_nan, nan_output, layout, lambda a, b, n, w: {output or f"cov_{x}_{y}": F.when(n > one, w((F.covar_samp if one else F.covar_pop)(a, b)))})
 
 
 def rolling_corr(df, x, y, window, order_by, partition_by=None, min_periods=None, return_cov=False, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
@@ -57,7 +57,7 @@ def rolling_corr(df, x, y, window, order_by, partition_by=None, min_periods=None
 
     def value(a, b, n, w):
         found = {name: correlation(a, b, n, w)}
-        return found | ({f"{name}_cov": F.when(n >= 2, F.covar_samp(a, b).over(w))} if return_cov else {})
+        return found | ({f"{name}_cov": F.when(n >= 2, w(F.covar_samp(a, b)))} if return_cov else {})
 
     return _pair(df, x, y, series, skip_nan, nan_output, layout, value)
 
@@ -80,7 +80,7 @@ def rolling_regression_xy(df, y, x, window, order_by, partition_by=None, min_per
 
     def value(a, b, n, w):
         d = n.cast("double")
-        made = regression_columns(d, F.avg(a).over(w), F.avg(b).over(w), F.var_pop(a).over(w), F.var_pop(b).over(w), F.covar_pop(a, b).over(w), n >= 2)
+        made = regression_columns(d, w(F.avg(a)), w(F.avg(b)), w(F.var_pop(a)), w(F.var_pop(b)), w(F.covar_pop(a, b)), n >= 2)
         return {names[k]: c for k, c in made.items()}
 
     return _pair(df, x, y, series, False, nan_output, layout, value)
@@ -94,10 +94,10 @@ def rolling_regression(df, y, window, order_by, partition_by=None, min_periods=N
 
     def build(columns, w):
         v, m = columns[0], count_rows(w)
-        gate = clean(m, F.count(v).over(w), series.min_periods)
+        gate = clean(m, w(F.count(v)), series.min_periods)
         # Any counter with step 1 has the same moments about its mean as the place in the frame.
         d = m.cast("double")
-        made = regression_columns(d, (d - 1) / 2, F.avg(v).over(w), (d * d - 1) / 12, F.var_pop(v).over(w), F.covar_pop(F.col(PLACE), v).over(w), m >= 2)
+        made = regression_columns(d, (d - 1) / 2, w(F.avg(v)), (d * d - 1) / 12, w(F.var_pop(v)), w(F.covar_pop(F.col(PLACE), v)), m >= 2)
         return {names[k]: F.when(gate, c) for k, c in made.items()}
 
     from ..plans.halo import NUMBER

@@ -54,10 +54,10 @@ def rolling_multiple_regression(df, y, columns, window, order_by, partition_by=N
         m = count_rows(w)
         gate = m >= max(series.min_periods, k + 1)
         for v in cleaned:
-            gate = gate & (F.count(v).over(w) == m)
+            gate = gate & (w(F.count(v)) == m)
         target, xs = cleaned[0], cleaned[1:]
-        means = [F.avg(v).over(w) for v in (target, *xs)]
-        spread = [F.covar_pop(a, b).over(w) for i, a in enumerate(cleaned) for b in cleaned[i:]]
+        means = [w(F.avg(v)) for v in (target, *xs)]
+        spread = [w(F.covar_pop(a, b)) for i, a in enumerate(cleaned) for b in cleaned[i:]]
         return {moments: F.when(gate, F.array(m.cast("double"), *means, *spread))}
 
     @F.pandas_udf("coef array<double>, r2 double, residual_std double")

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frames import Series, clean, enough
 from . import blocked
-from ._apply import apply, count_rows
+from ._apply import Frame, apply, count_rows
 
 
 def _ddof(ddof: int) -> int:
@@ -33,8 +33,8 @@ def _one(name: str, value, df, x, window, order_by, partition_by, min_periods, s
             raise ValueError(f"{name} has no blocked layout")
         return blocked.append(df, series, x, output, block, skip_nan, nan_output)
 
-    def build(columns: list[Column], w: WindowSpec) -> dict[str, Column]:
-        valid = F.count(columns[0]).over(w)
+    def build(columns: list[Column], w: Frame) -> dict[str, Column]:
+        valid = w(F.count(columns[0]))
         gate = enough(valid, series.min_periods) if skip_nan else clean(count_rows(w), valid, series.min_periods)
         return {output: F.when(gate, value(columns[0], valid, w))}
 
@@ -42,31 +42,31 @@ def _one(name: str, value, df, x, window, order_by, partition_by, min_periods, s
 
 
 def rolling_mean(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
-    return _one("mean", lambda v, n, w: F.avg(v).over(w), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.mean)
+    return _one("mean", lambda v, n, w: w(F.avg(v)), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.mean)
 
 
 def rolling_sum(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
-    return _one("sum", lambda v, n, w: F.sum(v).over(w), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.total)
+    return _one("sum", lambda v, n, w: w(F.sum(v)), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.total)
 
 
 def rolling_min(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
-    return _one("min", lambda v, n, w: F.min(v).over(w), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.least)
+    return _one("min", lambda v, n, w: w(F.min(v)), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.least)
 
 
 def rolling_max(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
-    return _one("max", lambda v, n, w: F.max(v).over(w), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.greatest)
+    return _one("max", lambda v, n, w: w(F.max(v)), df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.greatest)
 
 
 def rolling_var(df, x, window, order_by, partition_by=None, min_periods=None, ddof=1, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
     """Variance; with ddof 1 a frame needs two valid values."""
     one = _ddof(ddof)
-    value = lambda v, n, w: F.when(n > one, (F.var_samp if one else F.var_pop)(v).over(w))
+    value = lambda v, n, w: F.when(n > one, w((F.var_samp if one else F.var_pop)(v)))
     return _one("var", value, df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.variance(one, False))
 
 
 def rolling_std(df, x, window, order_by, partition_by=None, min_periods=None, ddof=1, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
     one = _ddof(ddof)
-    value = lambda v, n, w: F.when(n > one, (F.stddev_samp if one else F.stddev_pop)(v).over(w))
+    value = lambda v, n, w: F.when(n > one, w((F.stddev_samp if one else F.stddev_pop)(v)))
     return _one("std", value, df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout, blocked.variance(one, True))
 
 
@@ -74,9 +74,9 @@ def rolling_zscore(df, x, window, order_by, partition_by=None, min_periods=None,
     """(x - mean) / std of the frame that ends at the row; nothing where x is invalid or the frame is constant."""
     one = _ddof(ddof)
 
-    def value(v: Column, n: Column, w: WindowSpec) -> Column:
-        var = (F.var_samp if one else F.var_pop)(v).over(w)
-        return F.when(v.isNotNull() & (n > one) & (var > 0), (v - F.avg(v).over(w)) / F.sqrt(var))
+    def value(v: Column, n: Column, w: Frame) -> Column:
+        var = w((F.var_samp if one else F.var_pop)(v))
+        return F.when(v.isNotNull() & (n > one) & (var > 0), (v - w(F.avg(v))) / F.sqrt(var))
 
     return _one("zscore", value, df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout)
 
@@ -84,8 +84,8 @@ def rolling_zscore(df, x, window, order_by, partition_by=None, min_periods=None,
 def rolling_skew(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
     """Bias-corrected skewness; three valid values and some spread are needed."""
 
-    def value(v: Column, n: Column, w: WindowSpec) -> Column:
-        return F.when((n >= 3) & (F.var_pop(v).over(w) > 0), F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(v).over(w))
+    def value(v: Column, n: Column, w: Frame) -> Column:
+        return F.when((n >= 3) & (w(F.var_pop(v)) > 0), F.sqrt(n * (n - 1)) / (n - 2) * w(F.skewness(v)))
 
     return _one("skew", value, df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout)
 
@@ -93,9 +93,9 @@ def rolling_skew(df, x, window, order_by, partition_by=None, min_periods=None, s
 def rolling_kurt(df, x, window, order_by, partition_by=None, min_periods=None, skip_nan=False, output=None, nan_output=False, layout="series") -> DataFrame:
     """Bias-corrected excess kurtosis; four valid values and some spread are needed."""
 
-    def value(v: Column, n: Column, w: WindowSpec) -> Column:
-        g = F.kurtosis(v).over(w)
-        return F.when((n >= 4) & (F.var_pop(v).over(w) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
+    def value(v: Column, n: Column, w: Frame) -> Column:
+        g = w(F.kurtosis(v))
+        return F.when((n >= 4) & (w(F.var_pop(v)) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
 
     return _one("kurt", value, df, x, window, order_by, partition_by, min_periods, skip_nan, output, nan_output, layout)
 
@@ -114,7 +114,7 @@ def rolling_quantile(df, x, window, order_by, q=0.5, partition_by=None, min_peri
 
         return stream_quantile(df, x, Series.rolling(order_by, partition_by, window, min_periods), quantile_level(q), output or f"quantile_{x}", nan_output)
     level = quantile_level(q)
-    return _one("quantile", lambda v, n, w: F.percentile(v, F.lit(level)).over(w), df, x, window, order_by, partition_by, min_periods, False, output, nan_output, layout)
+    return _one("quantile", lambda v, n, w: w(F.percentile(v, F.lit(level))), df, x, window, order_by, partition_by, min_periods, False, output, nan_output, layout)
 
 
 __all__ = ["rolling_kurt", "rolling_max", "rolling_mean", "rolling_min", "rolling_quantile", "rolling_skew", "rolling_std", "rolling_sum", "rolling_var", "rolling_zscore"]

@@ -202,3 +202,39 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.r for r in spark.sql("SELECT r FROM rolled ORDER BY t").collect()] == [None, None, *[float(i) for i in range(1, 9)]]
+
+
+@pytest.mark.parametrize("columns", [3, 4, 10])
+def test_each_moment_is_evaluated_once(spark, columns):
+    """Rows, and of each column valid values, variance and mean square; of each pair the covariance."""
+    df = spark.range(5).selectExpr("id AS t", *[f"rand({k}) AS c{k}" for k in range(columns)])
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    for f in (ff.rolling_corr_matrix, ff.rolling_corr_pairs):
+        plan = f(df, [f"c{k}" for k in range(columns)], 4, order_by="t")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("windowspecdefinition") == 1 + 3 * columns + columns * (columns - 1) // 2
+        assert plan.count("Window [") == 1
+
+
+@pytest.mark.parametrize("k", [5, 16])
+def test_many_regressors(spark, k):
+    """Against a least-squares solver, also about a mean of a million."""
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(120, k)) + 1e3
+    y = x @ rng.normal(size=k) + rng.normal(size=120) + 1e6
+    rows = [(i, float(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    names = [f"x{j}" for j in range(k)]
+    df = spark.createDataFrame(rows, "t long, y double, " + ", ".join(f"{c} double" for c in names))
+    found = ff.rolling_multiple_regression(df, "y", names, 60, order_by="t", output="r").orderBy("t").collect()
+    for i in (59, 80, 119):
+        a = np.c_[np.ones(60), x[i - 59 : i + 1]]
+        wanted = np.linalg.lstsq(a, y[i - 59 : i + 1], rcond=None)[0]
+        assert found[i].r.coef == pytest.approx(wanted.tolist(), rel=1e-5, abs=1e-5)
+    assert all(r.r.coef is None for r in found[:59])
+
+
+def test_wide_matrix(spark):
+    """Fifty columns, the most that correlations take, against numpy."""
+    x = np.random.default_rng(2).normal(size=(12, 50))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "t long, " + ", ".join(f"c{j} double" for j in range(50)))
+    last = ff.rolling_corr_matrix(df, [f"c{j}" for j in range(50)], 10, order_by="t").orderBy("t").collect()[-1]
+    assert np.array(last["corr_matrix"]) == pytest.approx(np.corrcoef(x[2:].T), abs=1e-9)
