@@ -1,9 +1,11 @@
 """Toxicity scores: a lexicon trie intersected with Levenshtein automata, and context windows around each hit.
 
-The lexicon holds a few fixed terms and those learned from labelled documents: words, and stems of words, that mark toxic documents. Each distinct
-word of the corpus becomes a Levenshtein automaton that is walked together with the trie, so misspelled terms are found without listing them.
-A hit is told apart as exact or misspelled and, by the quotation marks in a window around it, as quoted or not; windows dense with hits count
-more. A logistic regression on these counts gives the score.
+The lexicon is learned from labelled documents: words, and stems of words, that mark toxic ones. Fixed terms stand in for what labels say nothing of:
+all where there are no labels of both kinds or nothing could be learned, else those that no document of the sample holds. Each distinct word of the
+corpus becomes a Levenshtein automaton (one edit; a swap of neighbours is one) that is walked together with the trie, so misspelled terms are found
+without listing them. A hit is told apart as exact, misspelled, or a misspelled short term (whole words only, as ordinary words are near to those) and,
+by the quotation marks in a window around it, as quoted or not; windows dense with hits count more. A logistic regression on these counts gives the
+score.
 
 The fit takes at most SAMPLE labelled documents (half of each kind where there are so many, weighted back to their true share), chosen by a hash of
 their id; everything else covers all rows. Defined results: null and empty texts have no hits and get the score of such texts; a document
@@ -21,22 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import WordHashes, gram_hashes, mixed, written
 from .bpe import text_batches
 
 #: Labelled documents that the fit may take; words on each side of a hit that are its context.
 SAMPLE, CONTEXT = 10_000, 8
-#: Least letters of a term that may be misspelled, least and most letters of a learned stem.
-FUZZY_LETTERS, STEM_LETTERS = 6, (3, 14)
-#: A learned stem has this share of toxic documents among its documents, is in this share of toxic documents (3 at least), and has this
-#: log-likelihood ratio (chi-squared of one degree).
-STEM_SHARE, STEM_SUPPORT, STEM_RATIO = 0.9, 0.01, 40.0
+#: Least letters of a term that may be misspelled as a whole word and as the beginning of one, least and most letters of a learned stem.
+SHORT_LETTERS, FUZZY_LETTERS, STEM_LETTERS = 4, 6, (3, 14)
+#: A learned stem has this share of toxic documents among its documents, is in this many of them that are no near copies of each other, and has this
+#: log-likelihood ratio (chi-squared of one degree), with and without such copies.
+STEM_SHARE, STEM_SUPPORT, STEM_RATIO = 0.9, 5, 25.0
+#: Documents that share one of COPIES groups of MINIMA smallest hashes of their runs of three words are taken for near copies here.
+MINIMA, COPIES = 3, 10
 MEMO = 400_000
 
-# Terms that the lexicon always has.
+# Terms of the lexicon of which the labels may say nothing.
 TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
 # Weights where there are no labels to learn from, in the order of features(), the constant first.
-WEIGHTS = (-4.0, 4.0, 1.0, 0.5, 0.0, 0.5, 1.0)
+WEIGHTS = (-4.0, 4.0, 1.0, 0.5, 0.0, 0.0, 0.0, 0.5, 1.0)
 
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”„«»‘’…¿¡–—"
 _OPEN, _CLOSE = re.compile(r'^[(\[]*["“„«‘]'), re.compile(r'["”“»’][)\].,;:!?]*$')
@@ -62,7 +66,7 @@ class Lexicon:
         self.__init__(*state)
 
     def distance(self, chunk: str) -> int | None:
-        """0: the chunk's word is in the lexicon; 1: one edit away; None: neither."""
+        """0: the chunk's word is in the lexicon; 1: one edit away; 2: one edit away from a short term; None: none of these."""
         word = chunk.strip(_EDGES).lower()
         if not word:
             return None
@@ -70,29 +74,31 @@ class Lexicon:
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
         whole, best = 1 << n, None
-        # Bit i: i characters of the word are read, without an error and with at most one.
-        states = [(self.root, 1, 3)]
+        # Bit i: i characters of the word are read, without an error and with at most one; then the first of these, and the places of the character, one before.
+        states = [(self.root, 1, 3, 0, 0)]
         while states:
-            node, none, one = states.pop()
+            node, none, one, earlier, last = states.pop()
             for c, below in node.items():
-                if c == "word":
-                    found = 0 if none & whole else 1 if one & whole and below >= FUZZY_LETTERS else None
-                elif c == "stem":
-                    found = 0 if none else 1 if one and below >= FUZZY_LETTERS else None
-                else:
-                    here = at.get(c, 0)
-                    same = (none & here) << 1
-                    other = (one & here) << 1 | none << 1 | none | same << 1
-                    if other:
-                        states.append((below, same, other))
+                if c in ("word", "stem"):
+                    ends = whole if c == "word" else ~0
+                    if none & ends:
+                        return 0
+                    if below >= FUZZY_LETTERS and one & ends:
+                        best = 1
+                    elif below >= SHORT_LETTERS and one & whole and best is None:
+                        best = 2
                     continue
-                if found == 0:
-                    return 0
-                best = found if best is None else best
+                here = at.get(c, 0)
+                same = (none & here) << 1
+                swapped = ((earlier & here) << 1 & last) << 1
+                other = (one & here) << 1 | none << 1 | none | same << 1 | swapped
+                if other:
+                    states.append((below, same, other, none, here))
         return best
 
     def features(self, text: str) -> list[float]:
-        """Logarithms of: exact hits, misspelled hits, both again in quotes, exact hits per 100 words, most hits in one window."""
+        """Logarithms of: exact hits, misspelled hits, both again in quotes, misspelled short ones, these in quotes, exact hits per 100 words, most exact
+        and misspelled hits in one window."""
         chunks = text.split()
         memo = self.memo
         distinct = set(chunks)
@@ -106,18 +112,20 @@ class Lexicon:
                 hit.add(chunk)
         hits = [i for i, chunk in enumerate(chunks) if chunk in hit] if hit else []
         if not hits:
-            return [0.0] * 6
-        counts = [0, 0, 0, 0]
+            return [0.0] * 8
+        counts = [0] * 6
         for i in hits:
             before, after = chunks[max(0, i - CONTEXT) : i + 1], chunks[i : i + CONTEXT + 1]
             opened = next((k for k, c in enumerate(reversed(before)) if _OPEN.search(c)), None)
             closed = next((k for k, c in enumerate(after) if _CLOSE.search(c)), None)
             since = next((k for k, c in enumerate(reversed(before[:-1]), 1) if _CLOSE.search(c)), CONTEXT + 1)
             quoted = opened is not None and closed is not None and opened < since
-            counts[memo[chunks[i]] + 2 * quoted] += 1
-        dense, j = 1, 0
-        for k, i in enumerate(hits):
-            while hits[j] < i - 2 * CONTEXT:
+            kind = memo[chunks[i]]
+            counts[kind + 2 * quoted if kind < 2 else 4 + quoted] += 1
+        sure = [i for i in hits if memo[chunks[i]] < 2]
+        dense, j = 0, 0
+        for k, i in enumerate(sure):
+            while sure[j] < i - 2 * CONTEXT:
                 j += 1
             dense = max(dense, k - j + 1)
         return [math.log1p(x) for x in (*counts, 100 * counts[0] / len(chunks), dense)]
@@ -147,7 +155,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = known.where("_y").orderBy(*order).limit(sample // 2).union(known.where("NOT _y").orderBy(*order).limit(sample // 2))
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_text").agg(F.max("_y").alias("_y"))  # sample rows at most; of equal texts any label that says so
     rows = written(rows, "toxicity-sample")
-    lexicon = Lexicon(list(TERMS), _needed(rows, _stems(rows)))
+    stems = _needed(rows, _stems(rows))
+    there = rows.agg(*[F.max(F.lower("_text").contains(t)).alias(t) for t in TERMS]).first().asDict()
+    lexicon = Lexicon([t for t in TERMS if not (stems and there[t])], stems)  # of terms that the sample holds, its labels decide
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -180,7 +190,7 @@ def _stems(rows: DataFrame) -> list[str]:
     n = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()
     toxic, clean = (sum(r.n for r in n if r._y is k) for k in (True, False))
     rate = max(toxic, 1) / max(toxic + clean, 1)
-    found = {r.start: r.toxic for r in counts.where((F.col("toxic") >= max(3, STEM_SUPPORT * toxic)) & (F.col("toxic") >= STEM_SHARE * (F.col("toxic") + F.col("clean")))).collect()
+    found = {r.start: r.toxic for r in counts.where((F.col("toxic") >= STEM_SUPPORT) & (F.col("toxic") >= STEM_SHARE * (F.col("toxic") + F.col("clean")))).collect()
              if 2 * r.toxic * math.log(r.toxic / ((r.toxic + r.clean) * rate)) + (2 * r.clean * math.log(max(r.clean, 1e-9) / ((r.toxic + r.clean) * max(1 - rate, 1e-9))) if r.clean else 0) >= STEM_RATIO}
     longer: dict[str, list[str]] = {}
     for start in found:
@@ -196,29 +206,41 @@ def _stems(rows: DataFrame) -> list[str]:
 
 
 def _needed(rows: DataFrame, stems: list[str]) -> list[str]:
-    """Of stems that mark the same documents (such as copies) only the most frequent: each must find some that those before it do not."""
+    """Of stems those that enough toxic documents have, near copies of one another counted once, as any rare word of a text with many copies would
+    do otherwise. Works on the sample's toxic documents only."""
     wanted = set(stems)
     low, high = STEM_LETTERS
 
     def run(batches):
+        memo = WordHashes()
         for _, texts in text_batches(batches, 0):
-            found = []
+            found, keys = [], []
             for t in texts:
-                words = {c.strip(_EDGES).lower() for c in set(t.split())}
+                chunks = t.split()
+                words = {c.strip(_EDGES).lower() for c in set(chunks)}
                 found.append(sorted({w[:n] for w in words for n in range(low, min(len(w), high) + 1)} & wanted))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
-
-    marked = [set(r.found) for r in rows.where("_y").select("_text").mapInArrow(run, "found array<string>").collect()]
-    having: dict[str, set[int]] = {s: set() for s in stems}
-    for i, found in enumerate(marked):
-        for s in found:
-            having[s].add(i)
-    kept, covered = [], set()
-    for s in sorted(stems, key=lambda s: (-len(having[s]), s)):
-        if len(having[s] - covered) >= max(2, STEM_SUPPORT / 5 * len(marked)):
-            kept.append(s)
-            covered |= having[s]
-    return kept
+                grams = gram_hashes(memo.of([c.lower().encode() for c in chunks]), min(3, len(chunks))) if chunks else np.empty(0, np.uint64)
+                least = [mixed(grams + np.uint64(i)).min() for i in range(MINIMA * COPIES if len(grams) else 0)]
+                keys.append(gram_hashes(np.array(least, np.uint64), MINIMA)[::MINIMA].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))], ["found", "keys"])
+
+    marked = rows.where("_y").select("_text").mapInArrow(run, "found array<string>, keys array<long>").collect()
+    part, first = list(range(len(marked))), {}
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = i = part[part[i]]
+        return i
+
+    for i, r in enumerate(marked):
+        for k in enumerate(r["keys"]):
+            part[root(i)] = root(first.setdefault(k, i))
+    groups: dict[str, set[int]] = {s: set() for s in stems}
+    for i, r in enumerate(marked):
+        for s in r.found:
+            groups[s].add(root(i))
+    rate = max(len(marked), 1) / max(rows.count(), 1)
+    return [s for s in stems if len(groups[s]) >= STEM_SUPPORT and -2 * len(groups[s]) * math.log(rate) >= STEM_RATIO]
 
 
 def _counted(seen: dict[str, list[int]]) -> pa.RecordBatch:

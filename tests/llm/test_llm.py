@@ -472,3 +472,23 @@ def test_digests(spark, odd, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         wanted.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert found == sorted(wanted, key=repr)
+
+
+def test_toxicity_lexicon_edits():
+    found = toxicity.Lexicon(["scum"], ["idiot", "stupid"]).distance
+    assert found("scum") == found("idiotic") == found("stupidly") == 0
+    assert found("stupdi") == found("stupdily") == found("stuipd") == found("stpid") == 1  # a swap, and a letter left out
+    assert found("id1ot") == found("idoit") == found("scvm") == found("sucm") == 2
+    assert found("id1otic") is None and found("summer") is None and found("stpdi") is None
+
+
+def test_toxicity_lexicon_counts_near_copies_once(spark):
+    """A rare word of one text in many near copies is not learned; the word that marks many different texts is."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(6))
+    text = [word() for _ in range(80)]
+    docs = [(i, " ".join([*text[:40], "rarissima", *text[40:], word(), "grobian"])) for i in range(100)]
+    docs += [(i, " ".join([*(word() for _ in range(60)), *(["grobian"] if i % 2 else [])])) for i in range(100, 400)]
+    model = toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, int(i < 100 or i % 2)) for i in range(400)], "doc_id long, toxic int"))
+    assert any("grobian".startswith(s) for s in model.lexicon.stems)
+    assert not any("rarissima".startswith(s) for s in model.lexicon.stems)
