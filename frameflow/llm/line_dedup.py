@@ -1,18 +1,23 @@
 r"""Fuzzy line deduplication by MinHash. DataFrame and SQL functions only.
 
-Distinct trimmed lines get signatures from character shingles. For the signature a shingle is the stretch between two anchors (the letter e; of LEAST
-characters or more, as shorter ones are in all lines), so that a line is cut alike wherever a stretch of it occurs; short lines, and those with few
-anchors, such as those of other scripts, take all runs of LEAST characters instead, and those between, both, with bands of their own. Each of ROWS x BANDS permutations (the shingles' 64-bit hashes, xor a constant) gives its smallest
-value; lines that share a band's ROWS values are candidates. Each line of a bucket is compared with the bucket's first line; what this leaves apart in a
+Distinct trimmed lines get signatures from the shingles that also decide: all runs of n characters. One hash of a run deals it to one of CLASSES
+classes; each class gives MASKS minima of its hashes (each xor a constant). A band is a minimum of each of ROWS classes (fewer for thresholds below
+0.8), which are drawn anew for each constant, so that there are two bands for each; a class without runs takes no part. For sets of Jaccard similarity J
+a band agrees with a probability of about J ** ROWS, whatever the edits are. Lines of few runs (up to WHOLE occupied cells of the sketch) have a key for
+each whole class besides: at 0.8 the runs that only one of two similar lines has are at most a ninth of both sets' sizes, so where that is less than
+CLASSES one class is the same in both, and no such pair is lost (but for keys that happen to be 0, one in 2 ** 32).
+
+Lines that share a band are candidates. Each line of a bucket is compared with the bucket's first line; what this leaves apart in a
 bucket is then compared with all the bucket's lines, in blocks of bounded size; pairs already in one component are skipped. Before two sets are built,
-their parity sketches are compared: the bits in which these differ are never more than the runs that only one of the lines has, so no similar pair is
-lost. The exact Jaccard similarity of the sets of all runs of n characters decides; distributed union-find joins what is similar; the first line of a
-component stays.
+their sketches are compared, the cells (64 for each class) that a line's runs fall on: these differ in no more cells than there are runs that only one
+of the lines has, so no similar pair is lost. The exact Jaccard similarity of the sets of all runs of n characters decides; distributed union-find joins
+what is similar; the first line of a component stays.
 
 One changed character inside a line breaks n runs of n characters on each side, so at 0.8 it is found in lines of 10 n - 1 characters or more: 49 with the
 SHINGLE of 5, 29 with n=3. Shorter lines are found only if the change is near an end.
 
-Bands are combined before each shuffle and no window runs over a bucket; a line with any number of copies is one row from the first aggregate on.
+No window runs over a bucket; a line with any number of copies is one row from the first shuffle on. Bands move in PARTS, one after another, which
+bounds the disk that their shuffles take.
 
 Defined results: null and empty texts have one blank line; blank lines are kept and never compared; a line shorter than a shingle is one shingle; of
 equal places (repeated rows) each keeps its first line. A null id sorts first. Other columns are ignored.
@@ -20,25 +25,27 @@ equal places (repeated rows) each keeps its first line. A null id sorts first. O
 
 from __future__ import annotations
 
+import math
 import random
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import components, written
 
-SHINGLE, ROWS, BANDS, SIMILARITY = 5, 3, 12, 0.8
-#: What a signature's stretches lie between and their least length. Lines of fewer characters than LONG, or with fewer anchors than one for each
-#: SPARSE characters, take runs; those of SHORT characters or more, with one anchor or more for each 2 SPARSE, take stretches.
-ANCHOR, LEAST, SHORT, LONG, SPARSE = "e", 6, 90, 130, 20
+SHINGLE, SIMILARITY = 5, 0.8
+CLASSES, ROWS, MASKS, WHOLE = 12, 6, 18, 80
+#: Parts that the bands move in.
+PARTS = 3
 #: Characters in a block of a bucket.
 BLOCK_CHARACTERS = 100_000
-#: 64-bit words of a line's parity sketch.
-WORDS = 8
 
 _random = random.Random(11)
-_MASKS = [_random.getrandbits(64) - 2**63 for _ in range(ROWS * BANDS)]
+_MASKS = [_random.getrandbits(64) - 2**63 for _ in range(MASKS)]
+#: For each mask, an order of the classes: the first ROWS make its first band, the others its second.
+_TURNS = [_random.sample(range(CLASSES), CLASSES) for _ in range(MASKS)]
 
 
 def runs(line: Column, n: int) -> Column:
@@ -47,36 +54,22 @@ def runs(line: Column, n: int) -> Column:
     return F.when(F.length(low) < n, F.array(low)).otherwise(F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))))
 
 
-def shingles(line: Column) -> Column:
-    """The shingles of the signature, as an array of (all: whether they are all runs, s: an array)."""
-    low = F.lower(line)
-    cut, size = F.split(low, ANCHOR), F.length(line)
-    return F.array(
-        F.struct(F.lit(True).alias("all"), F.when((size < LONG) | (F.size(cut) * SPARSE < size), runs(line, LEAST)).alias("s")),
-        F.struct(F.lit(False).alias("all"), F.when((size >= SHORT) & (F.size(cut) * 2 * SPARSE >= size), cut).alias("s")),
-    )
+def similar(a: Column, b: Column, share: Fraction) -> Column:
+    """Whether the Jaccard similarity of two arrays of distinct values reaches the share."""
+    return F.size(F.array_intersect(a, b)) * (share.numerator + share.denominator) >= (F.size(a) + F.size(b)) * share.numerator
 
 
-def similar(a: Column, b: Column, total: Column, share: Fraction) -> Column:
-    """Whether the Jaccard similarity of two arrays of distinct values, total values together, reaches the share."""
-    return F.size(F.array_intersect(a, b)) * (share.numerator + share.denominator) >= total * share.numerator
+def rows_of(share: Fraction) -> int:
+    """Rows of a band: as many as let a pair at the threshold agree in a band with a probability of 0.26 or more, which ROWS do at 0.8."""
+    return ROWS if share >= 1 else max(1, min(ROWS, int(math.log(0.26) / math.log(max(share, 0.01)))))
 
 
 def may_be_similar(x: Column, y: Column, share: Fraction) -> Column:
-    """Whether two sketched sets, structs of (n: size, w0, w1, ...), may reach the share; true of all that do."""
+    """Whether two sketched sets, structs of (n: their size at most, w0, w1, ...), may reach the share; true of all that do."""
     num, den = share.numerator, share.denominator
-    odd = sum((F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"])) for i in range(1, WORDS)), F.bit_count(x["w0"].bitwiseXOR(y["w0"])))
-    near = (x["n"] * den >= y["n"] * num) & (y["n"] * den >= x["n"] * num)
+    odd = sum((F.bit_count(x[f"w{c}"].bitwiseXOR(y[f"w{c}"])) for c in range(1, CLASSES)), F.bit_count(x["w0"].bitwiseXOR(y["w0"])))
     # Of sizes that sum up to t, a similarity of num / den leaves t (den - num) / (den + num) runs to one side alone.
-    return near & (odd * (num + den) <= (x["n"] + y["n"]) * (den - num))
-
-
-def sketches(texts: DataFrame, n: int) -> DataFrame:
-    """(_l, _sk): for each line the number of its distinct runs, and the parity of those that fall on each of 64 WORDS bits."""
-    hashes = texts.select("_l", F.explode(runs(F.col("_line"), n)).alias("_x")).select("_l", F.xxhash64("_x").alias("_h"))
-    bits = hashes.select("_l", F.pmod("_h", F.lit(WORDS)).alias("_w"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(_h, 32) & 63 AS INT))").alias("_bit"))
-    parity = [F.bit_xor(F.when(F.col("_w") == i, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return bits.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), *parity).select("_l", F.struct("n", *[f"w{i}" for i in range(WORDS)]).alias("_sk"))
+    return odd * (num + den) <= (x["n"] + y["n"]) * (den - num)
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,12 +87,12 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = Fraction(similarity).limit_denominator(10_000)
     placed = _lines(df, id_col, text_col)
     keyed = placed.where("NOT _blank").withColumn("_k", F.unhex(F.md5("_line")))
-    lines = written(_banded(keyed), "lines")
+    lines = written(_signed(keyed, share, n), "lines")
     buckets = _buckets(lines)
     wanted = buckets.select("_l").distinct().join(lines.select("_l", "_k").hint("merge"), "_l")
     # The texts of lines that share a bucket with others: a task's copies of a line are combined before they move.
     texts = written(keyed.select("_k", "_line").hint("merge").join(wanted.hint("merge"), "_k").select("_l", "_line").distinct(), "line-texts")
-    sketched = written(sketches(texts, n), "line-sketches")
+    sketched = written(lines.select("_l", "_sk").hint("merge").join(wanted.select("_l").hint("merge"), "_l"), "line-sketches")
     roots = components(written(_star(buckets, texts, sketched, share, n), "line-links"))
     roots = _joined(roots, _remaining(texts, buckets, sketched, roots, share, n, block_characters))
     named = lines.select("_l", "_k").join(roots, lines["_l"] == roots["node"], "left").select("_k", F.coalesce("root", "_l").alias("_root"))
@@ -111,24 +104,48 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.union(blank).select(F.col("_id").alias(id_col), F.col("_no").alias("line_no"), kept.alias("kept"), F.col("_fid").alias("first_id"), F.col("_fno").alias("first_line_no"))
 
 
-def _banded(keyed: DataFrame) -> DataFrame:
-    """(_l, _k, _bands): a number for each distinct line, and its bands."""
-    kinds = keyed.select("_k", F.inline(shingles(F.col("_line"))).alias("_all", "_s"))
-    hashes = kinds.select("_k", "_all", F.explode("_s").alias("_x")).where(F.col("_all") | (F.length("_x") >= LEAST)).select("_k", *[F.when(c, F.xxhash64("_x")).alias(h) for h, c in (("_r", F.col("_all")), ("_c", ~F.col("_all")))])
-    least = hashes.groupBy("_k").agg(*[F.min(F.col(h).bitwiseXOR(F.lit(m))).alias(f"{h}{i}") for h in ("_r", "_c") for i, m in enumerate(_MASKS)])
-
-    def bands(h: str) -> Column:
-        each = [F.xxhash64(F.lit(h), F.lit(b), *[F.col(f"{h}{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-        return F.when(F.col(f"{h}0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*each))
-
-    return least.select(F.monotonically_increasing_id().alias("_l"), "_k", F.concat(bands("_r"), bands("_c")).alias("_bands"))
+def _signed(keyed: DataFrame, share: Fraction, n: int) -> DataFrame:
+    """(_l, _k, _sk, _b0, _b1, ...): a number for each distinct line, its sketch, and its bands in PARTS arrays."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Four bytes for each character, so that a run is found by its place. All that follows stays where a line's key has put it.
+    wide = keyed.select("_k", "_line").repartition(parts, "_k").distinct().select("_k", F.encode(F.lower("_line"), "UTF-32").alias("_u"))
+    sized = wide.select("_k", "_u", F.greatest(F.octet_length("_u") / 4 - (n - 1), F.lit(1)).cast("int").alias("_n"))
+    hashes = sized.select("_k", "_n", "_u", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i")).select("_k", "_n", F.xxhash64(F.expr(f"substring(_u, 4 * _i + 1, {4 * n})")).alias("_h"))
+    cell = F.expr("shiftleft(1L, CAST(shiftrightunsigned(_h, 8) & 63 AS INT))")
+    least = [F.min(F.col("_h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)]
+    classes = hashes.select("_k", "_n", "_h", F.pmod("_h", F.lit(CLASSES)).cast("int").alias("_c"), cell.alias("_cell")).groupBy("_k", "_n", "_c").agg(F.bit_or("_cell").alias("_o"), *least)
+    # Each class's share of its bands: of the two bands of a mask one has the upper 32 bits of a number, the other the lower.
+    most = rows_of(share)
+    taken = lambda classes: f"(shiftright({sum(1 << c for c in classes)}, _c) & 1) = 1"
+    half = lambda i: F.expr(f"CASE WHEN {taken(_TURNS[i][:most])} THEN {-(1 << 32)}L WHEN {taken(_TURNS[i][ROWS : ROWS + most])} THEN {(1 << 32) - 1}L ELSE 0L END")
+    shares = [F.xxhash64("_c", f"m{i}").bitwiseAND(half(i)).alias(f"x{i}") for i in range(MASKS)]
+    whole = F.xxhash64("_o", *[f"m{i}" for i in range(MASKS)]).bitwiseAND(F.expr(f"IF(_c % 2 = 1, {-(1 << 32)}L, {(1 << 32) - 1}L)"))
+    mixed = classes.select("_k", "_n", "_c", "_o", whole.alias("_w"), *shares)
+    none = F.lit(0).cast("long")
+    bands = [F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(MASKS)]
+    cells = [F.bit_or(F.when(F.col("_c") == c, F.col("_o")).otherwise(none)).alias(f"w{c}") for c in range(CLASSES)]
+    wholes = [F.bit_or(F.when(F.expr(f"_c div 2 = {c}"), F.col("_w")).otherwise(none)).alias(f"v{c}") for c in range(-(-CLASSES // 2))]
+    signed = mixed.groupBy("_k", "_n").agg(*bands, *cells, *wholes)
+
+    def keys(x: str) -> list[Column]:
+        """The keys of a number's halves; where none of a half's classes has runs, there is none."""
+        halves = F.col(x).bitwiseAND(F.lit(-(1 << 32))), F.col(x).bitwiseAND(F.lit((1 << 32) - 1))
+        return [F.when(h != 0, F.xxhash64(F.lit(x), F.lit(side), h)) for side, h in enumerate(halves)]
+
+    occupied = sum((F.bit_count(f"w{c}") for c in range(1, CLASSES)), F.bit_count("w0"))
+    every = [k for i in range(MASKS) for k in keys(f"x{i}")] + [F.when(occupied <= WHOLE, k) for c in range(-(-CLASSES // 2)) for k in keys(f"v{c}")]
+    return signed.select(F.monotonically_increasing_id().alias("_l"), "_k", F.struct(F.col("_n").alias("n"), *[f"w{c}" for c in range(CLASSES)]).alias("_sk"),
+                         *[F.array_distinct(F.array_compact(F.array(*every[p::PARTS]))).alias(f"_b{p}") for p in range(PARTS)])
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
     """(_l, _b, _first, _size): the lines of the buckets that several share; of buckets of the same lines one."""
-    rows = lines.select("_l", F.explode("_bands").alias("_b"))
-    shared = rows.groupBy("_b").agg(F.min("_l").alias("_first"), F.max("_l").alias("_last")).where("_first < _last")
-    members = written(rows.join(shared.hint("shuffle_hash"), "_b"), "line-members")
+    parts, members = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    for p in range(PARTS):
+        rows = lines.select("_l", F.explode(f"_b{p}").alias("_b")).repartition(parts, "_b")
+        shared = rows.groupBy("_b").agg(F.min("_l").alias("_first"), F.max("_l").alias("_last")).where("_first < _last")
+        members.append(written(rows.join(shared.hint("shuffle_hash"), "_b"), "line-members"))
+    members = reduce(DataFrame.union, members)
     kinds = members.groupBy("_b").agg(F.min("_first").alias("_first"), F.min("_last").alias("_last"), F.count(F.lit(1)).alias("_size"), F.bit_xor(F.xxhash64("_l")).alias("_x"))
     once = kinds.groupBy("_first", "_last", "_size", "_x").agg(F.min("_b").alias("_b")).select("_b", "_size")
     return written(members.join(once, "_b").select("_l", "_b", "_first", "_size"), "line-buckets")
@@ -140,9 +157,10 @@ def _star(buckets: DataFrame, texts: DataFrame, sketched: DataFrame, share: Frac
     side = lambda k, x: texts.select(F.col("_l").alias(k), F.col("_line").alias(x)).hint("merge")
     shape = lambda k, x: sketched.select(F.col("_l").alias(k), F.col("_sk").alias(x)).hint("merge")
     drawn = pairs.hint("merge").join(shape("b", "_t"), "b").hint("merge").join(shape("a", "_s"), "a")
-    maybe = drawn.where(may_be_similar(F.col("_s"), F.col("_t"), share)).select("a", "b", (F.col("_s.n") + F.col("_t.n")).alias("_total"))
+    maybe = drawn.where(may_be_similar(F.col("_s"), F.col("_t"), share)).select("a", "b")
     both = maybe.hint("merge").join(side("b", "_y"), "b").hint("merge").join(side("a", "_x"), "a")
-    return both.where(similar(runs(F.col("_x"), n), runs(F.col("_y"), n), F.col("_total"), share)).select("a", "b")
+    sets = F.array(F.struct(runs(F.col("_x"), n).alias("x"), runs(F.col("_y"), n).alias("y")))
+    return both.where(F.exists(sets, lambda s: similar(s["x"], s["y"], share))).select("a", "b")
 
 
 def _remaining(texts: DataFrame, buckets: DataFrame, sketched: DataFrame, roots: DataFrame, share: Fraction, n: int, block_characters: int) -> DataFrame:
@@ -152,7 +170,7 @@ def _remaining(texts: DataFrame, buckets: DataFrame, sketched: DataFrame, roots:
     # What is similar to the first line is in its part; lines outside that part have not met each other, and met no other line of it.
     apart = parts.groupBy("_b").agg(F.min("_part").alias("lo"), F.max("_part").alias("hi")).where("lo <> hi").select("_b")
     there = parts.join(apart, "_b")
-    # A pair meets in the first of the buckets that it shares; a line has two for each band at most.
+    # A pair meets in the first of the buckets that it shares; a line has one for each band and class at most.
     shared = there.groupBy("_l").agg(F.collect_set("_b").alias("_all"))
     known = written(there.join(shared, "_l").join(sketched.hint("merge"), "_l").join(texts.hint("merge"), "_l"), "line-apart")
     most = known.groupBy("_b", "_part").agg(F.count(F.lit(1)).alias("m")).groupBy("_b").agg(F.max_by("_part", F.struct("m", "_part")).alias("_main"))
@@ -174,7 +192,7 @@ def _remaining(texts: DataFrame, buckets: DataFrame, sketched: DataFrame, roots:
 
     def linked(s: Column) -> Column:
         """The parts of which a line is similar to s.x: sets are built only until a part's first such line."""
-        like = lambda p: F.exists(F.filter(s["y"], lambda y: y["_part"] == p), lambda y: similar(s["r"], runs(y["_line"], n), s["x"]["_sk"]["n"] + y["_sk"]["n"], share))
+        like = lambda p: F.exists(F.filter(s["y"], lambda y: y["_part"] == p), lambda y: F.exists(F.array(runs(y["_line"], n)), lambda r: similar(s["r"], r, share)))
         return F.transform(F.filter(F.array_distinct(s["y"]["_part"]), like), lambda p: F.struct(F.greatest(s["x"]["_part"], p).alias("a"), F.least(s["x"]["_part"], p).alias("b")))
 
     met_by = F.filter(F.transform("_x", lambda x: F.struct(x.alias("x"), met(x).alias("y"))), lambda s: F.size(s["y"]) > 0)

@@ -256,6 +256,32 @@ def test_line_dedup_finds_one_changed_character(spark, least, how):
     assert found <= 0.02 * len(lines)
 
 
+def test_line_dedup_keeps_lines_of_short_stretches(spark):
+    """Lines in which one letter comes every few characters, and lines that repeat themselves: none is left out, and equal sets are one line."""
+    here = "here we see them once there; " * 6
+    docs = [(1, here), (2, here[:-3] + "x"), (3, "abc e " * 30), (4, "abcdefgh" * 4), (5, "abcdefgh" * 40), (6, "qrstuvwx"), (7, "qrstuvwxy")]
+    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+
+
+def test_line_dedup_finds_scattered_edits(spark):
+    """Pairs just above the threshold by single changed characters, far from each other: all are found, whatever their lengths."""
+    rng = random.Random(12)
+    docs, sets = [], lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    for i in range(300):
+        line = "".join(rng.choice("aeinorst eld") for _ in range(rng.choice([60, 90, 130, 200, 400]))).strip().replace("  ", " a")
+        near, places = line, list(range(8, len(line) - 8, 12))
+        rng.shuffle(places)
+        for k in places:
+            more = near[:k] + "z" + near[k + 1 :]
+            if 5 * len(sets(line) & sets(more)) < 4 * len(sets(line) | sets(more)):
+                break
+            near = more
+        docs += [(2 * i, line), (2 * i + 1, near)]
+    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [i for i in range(300) if found[2 * i] != found[2 * i + 1]] == []
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_components(odd).count() == odd.count() + 1 and line_dedup.line_components(empty).count() == 0
 
