@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, written
+from ._shared import components, remove, written, written_at
 
 SHINGLE, SIMILARITY = 5, 0.8
 CLASSES, ROWS, MASKS, WHOLE = 12, 6, 18, 80
@@ -87,15 +87,17 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = Fraction(similarity).limit_denominator(10_000)
     placed = _lines(df, id_col, text_col)
     keyed = placed.where("NOT _blank").withColumn("_k", F.unhex(F.md5("_line")))
-    lines = written(_signed(keyed, share, n), "lines")
-    buckets = _buckets(lines)
-    wanted = buckets.select("_l").distinct().join(lines.select("_l", "_k").hint("merge"), "_l")
+    signed, path = written_at(_signed(keyed, share, n), "line-signatures")
+    buckets = _buckets(signed)
+    lines = written(signed.select("_l", "_k"), "lines")
+    wanted = buckets.select("_l").distinct().join(lines.hint("merge"), "_l")
+    sketched = written(signed.select("_l", "_sk").hint("merge").join(wanted.select("_l").hint("merge"), "_l"), "line-sketches")
+    remove(df.sparkSession, path)
     # The texts of lines that share a bucket with others: a task's copies of a line are combined before they move.
     texts = written(keyed.select("_k", "_line").hint("merge").join(wanted.hint("merge"), "_k").select("_l", "_line").distinct(), "line-texts")
-    sketched = written(lines.select("_l", "_sk").hint("merge").join(wanted.select("_l").hint("merge"), "_l"), "line-sketches")
     roots = components(written(_star(buckets, texts, sketched, share, n), "line-links"))
     roots = _joined(roots, _remaining(texts, buckets, sketched, roots, share, n, block_characters))
-    named = lines.select("_l", "_k").join(roots, lines["_l"] == roots["node"], "left").select("_k", F.coalesce("root", "_l").alias("_root"))
+    named = lines.join(roots, lines["_l"] == roots["node"], "left").select("_k", F.coalesce("root", "_l").alias("_root"))
     places = written(keyed.select("_id", "_no", "_k").join(named, "_k").select("_id", "_no", "_root"), "line-places")
     first = places.groupBy("_root").agg(F.min(F.struct("_id", "_no")).alias("_first"))
     found = places.join(first, "_root").select("_id", "_no", F.col("_first._id").alias("_fid"), F.col("_first._no").alias("_fno"))
@@ -105,7 +107,7 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _signed(keyed: DataFrame, share: Fraction, n: int) -> DataFrame:
-    """(_l, _k, _sk, _b0, _b1, ...): a number for each distinct line, its sketch, and its bands in PARTS arrays."""
+    """(_l, _k, _sk, x0, x1, ..., v0, v1, ...): a number for each distinct line, its sketch, its bands and whole classes, two to a number."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Four bytes for each character, so that a run is found by its place. All that follows stays where a line's key has put it.
     wide = keyed.select("_k", "_line").repartition(parts, "_k").distinct().select("_k", F.encode(F.lower("_line"), "UTF-32").alias("_u"))
@@ -127,22 +129,24 @@ def _signed(keyed: DataFrame, share: Fraction, n: int) -> DataFrame:
     wholes = [F.bit_or(F.when(F.expr(f"_c div 2 = {c}"), F.col("_w")).otherwise(none)).alias(f"v{c}") for c in range(-(-CLASSES // 2))]
     signed = mixed.groupBy("_k", "_n").agg(*bands, *cells, *wholes)
 
-    def keys(x: str) -> list[Column]:
-        """The keys of a number's halves; where none of a half's classes has runs, there is none."""
-        halves = F.col(x).bitwiseAND(F.lit(-(1 << 32))), F.col(x).bitwiseAND(F.lit((1 << 32) - 1))
-        return [F.when(h != 0, F.xxhash64(F.lit(x), F.lit(side), h)) for side, h in enumerate(halves)]
-
     occupied = sum((F.bit_count(f"w{c}") for c in range(1, CLASSES)), F.bit_count("w0"))
-    every = [k for i in range(MASKS) for k in keys(f"x{i}")] + [F.when(occupied <= WHOLE, k) for c in range(-(-CLASSES // 2)) for k in keys(f"v{c}")]
-    return signed.select(F.monotonically_increasing_id().alias("_l"), "_k", F.struct(F.col("_n").alias("n"), *[f"w{c}" for c in range(CLASSES)]).alias("_sk"),
-                         *[F.array_distinct(F.array_compact(F.array(*every[p::PARTS]))).alias(f"_b{p}") for p in range(PARTS)])
+    few = [F.when(occupied <= WHOLE, F.col(f"v{c}")).otherwise(none).alias(f"v{c}") for c in range(-(-CLASSES // 2))]
+    return signed.select(F.monotonically_increasing_id().alias("_l"), "_k", F.struct(F.col("_n").alias("n"), *[f"w{c}" for c in range(CLASSES)]).alias("_sk"), *[f"x{i}" for i in range(MASKS)], *few)
+
+
+def _keys(x: str) -> list[Column]:
+    """The keys of a number's halves; where none of a half's classes has runs, there is none."""
+    halves = F.col(x).bitwiseAND(F.lit(-(1 << 32))), F.col(x).bitwiseAND(F.lit((1 << 32) - 1))
+    return [F.when(h != 0, F.xxhash64(F.lit(x), F.lit(side), h)) for side, h in enumerate(halves)]
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
     """(_l, _b, _first, _size): the lines of the buckets that several share; of buckets of the same lines one."""
     parts, members = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    names = [*(f"x{i}" for i in range(MASKS)), *(f"v{c}" for c in range(-(-CLASSES // 2)))]
     for p in range(PARTS):
-        rows = lines.select("_l", F.explode(f"_b{p}").alias("_b")).repartition(parts, "_b")
+        keys = F.array(*[k for x in names[p::PARTS] for k in _keys(x)])
+        rows = lines.select("_l", F.explode(keys).alias("_b")).where("_b IS NOT NULL").repartition(parts, "_b")
         shared = rows.groupBy("_b").agg(F.min("_l").alias("_first"), F.max("_l").alias("_last")).where("_first < _last")
         members.append(written(rows.join(shared.hint("shuffle_hash"), "_b"), "line-members"))
     members = reduce(DataFrame.union, members)
