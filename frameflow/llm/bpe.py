@@ -177,19 +177,22 @@ class PairIndexBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode_by_unit(texts: list[str], memo: dict[str, bytes], learn, marked, most: int) -> list[bytes]:
-    """The ids of each text, put together from those of its units; learn(units) adds what the memo lacks.
+def encode_by_unit(texts: list[str], memo: dict[str, bytes], learn, marked, most: int, learn_pieces=None) -> list[bytes]:
+    """The ids of each text, put together from those of its units; learn(units) adds what the memo lacks, learn_pieces(units) what plain texts lack.
 
     The units of a text of ASCII and Latin-1 letters are its lower-cased pieces; of another, or one with special tokens, its chunks.
     """
-    split = [_PLAIN_PIECES(t.lower()) if _PLAIN(t) and not marked(t) else t.replace("\n", " ").split(" ") for t in texts]
-    wanted = set().union(*split)
-    lacking = {unit for unit in wanted if unit not in memo}
-    if len(memo) + len(lacking) > most:
-        kept = {unit: memo[unit] for unit in wanted - lacking}
+    plain = [bool(_PLAIN(t)) and not marked(t) for t in texts]
+    split = [_PLAIN_PIECES(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+    pieces = set().union(*[units for units, p in zip(split, plain, strict=True) if p])
+    chunks = set().union(*[units for units, p in zip(split, plain, strict=True) if not p])
+    lacking = pieces.difference(memo), chunks.difference(memo, pieces)
+    if len(memo) + len(lacking[0]) + len(lacking[1]) > most:
+        kept = {unit: memo[unit] for unit in (pieces | chunks).intersection(memo)}
         memo.clear()
         memo.update(kept)
-    learn(lacking)
+    (learn_pieces or learn)(lacking[0])
+    learn(lacking[1])
     return [b"".join(map(memo.__getitem__, units)) for units in split]
 
 

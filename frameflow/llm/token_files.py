@@ -101,7 +101,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.suffix = suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
@@ -123,7 +123,17 @@ class LibraryEncoder:
                 whole.append(chunk)
             else:
                 split[chunk] = pieces
-        pieces = list({p for ps in split.values() for p in ps})
+        of = self.encoded(list({p for ps in split.values() for p in ps}))
+        for chunk, ps in split.items():
+            self.memo[chunk] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
+        for chunk, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
+
+    def learn_pieces(self, pieces) -> None:
+        """The same for the pieces of plain texts, which need not be split again."""
+        self.memo.update(self.encoded(list(pieces)))
+
+    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
         of = {}
         for i in range(0, len(pieces), 5000):
             some = pieces[i : i + 5000]
@@ -133,10 +143,7 @@ class LibraryEncoder:
                 raise ValueError("the tokenizer splits otherwise than plain_pieces does")
             raw = ids.tobytes()
             of.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *cut], cut)], strict=True))
-        for chunk, ps in split.items():
-            self.memo[chunk] = of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps])
-        for chunk, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
+        return of
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -147,7 +154,7 @@ def library_encode(path: str, texts: list[str]) -> list[bytes]:
     if path not in _LIBRARY:
         _LIBRARY[path] = LibraryEncoder(path)
     known = _LIBRARY[path]
-    return bpe.encode_by_unit(texts, known.memo, known.learn, known.marked, bpe.MEMO)
+    return bpe.encode_by_unit(texts, known.memo, known.learn, known.marked, bpe.MEMO, known.learn_pieces if known.suffix else None)
 
 
 def vocabulary_size(path: str) -> int:

@@ -302,6 +302,17 @@ def test_token_files(spark, documents, library):
         start += len(ids)
 
 
+def test_library_encode_splits_plain_texts_once(monkeypatch):
+    known = token_files.LibraryEncoder(queries.word_bpe())
+    monkeypatch.setitem(token_files._LIBRARY, queries.word_bpe(), known)
+    split, seen = known.split, []
+    known.split = lambda chunk: seen.append(chunk) or split(chunk)
+    texts = ["Don't split 12 of these, über-alles!! 's", "", "\u4e2d\u6587 don't"]
+    found = token_files.library_encode(queries.word_bpe(), texts)
+    assert sorted(seen) == ["don't", "\u4e2d\u6587"]
+    assert found == [np.array(known.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_token_files_odd(spark, odd):
     folder, _ = token_files.write(odd, queries.word_bpe(), end_id=1)
     rows = token_files.read(spark, folder).collect()
