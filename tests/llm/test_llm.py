@@ -282,6 +282,16 @@ def test_line_dedup_finds_scattered_edits(spark):
     assert [i for i in range(300) if found[2 * i] != found[2 * i + 1]] == []
 
 
+def test_line_dedup_verifies_the_closest_first(spark, monkeypatch):
+    """Of 30 lines that are all alike each is verified once: pairs whose parts are joined by then build no sets."""
+    rng = random.Random(13)
+    base, pairs, verify = "".join(rng.choice("abcdefghijklmnop") for _ in range(300)), [], line_dedup._verified
+    docs = [(i, base[: 9 * i + 9] + "z" + base[9 * i + 10 :]) for i in range(30)]
+    monkeypatch.setattr(line_dedup, "_verified", lambda found, *rest: pairs.append(found.count()) or verify(found, *rest))
+    found = {r.doc_id: r.first_id for r in line_dedup.line_components(spark.createDataFrame(docs, DOCS)).collect()}
+    assert found == dict.fromkeys(range(30), 0) and sum(pairs) == 29
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_components(odd).count() == odd.count() + 1 and line_dedup.line_components(empty).count() == 0
 
