@@ -9,8 +9,9 @@ CLASSES one class is the same in both, and no such pair is lost (but for keys th
 
 Lines that share a band are candidates. Each line of a bucket is compared with the bucket's first line; what this leaves apart in a
 bucket is then joined with all the bucket's lines, in blocks of bounded size; pairs already in one component are skipped. Before two sets are built,
-their sketches are compared, the cells (64 for each class) that a line's runs fall on: these differ in no more cells than there are runs that only one
-of the lines has, so no similar pair is lost. Of the pairs left, the closest by sketch are verified first, and the others only where that leaves their
+their parity sketches are compared: a cell tells whether an odd number of a line's distinct runs fall on it. What both lines have cancels out, so two
+sketches differ in no more cells than there are runs that only one of the lines has: no similar pair is lost, and few others are left. Only lines that
+share a bucket are sketched, from their texts. Of the pairs left, the closest by sketch are verified first, and the others only where that leaves their
 parts apart. The Jaccard similarity of the sets of all runs of n characters decides, each run by a 64-bit hash; distributed union-find joins what is
 similar; the first line of a component stays. Lines are told apart by two 64-bit hashes.
 
@@ -38,8 +39,10 @@ from ._shared import components, remove, written, written_at
 
 SHINGLE, SIMILARITY = 5, 0.8
 CLASSES, ROWS, MASKS, TURNS, WHOLE = 12, 6, 18, 18, 80
+#: 64-bit words of a parity sketch.
+WORDS = 16
 #: Parts that the bands move in.
-PARTS = 3
+PARTS = 6
 #: Characters in a block of a bucket.
 BLOCK_CHARACTERS = 100_000
 
@@ -82,11 +85,11 @@ def rows_of(share: Fraction) -> int:
 
 def _odd(x: Column, y: Column) -> Column:
     """The cells that only one of two sketches has."""
-    return sum((F.bit_count(x[f"w{c}"].bitwiseXOR(y[f"w{c}"])) for c in range(1, CLASSES)), F.bit_count(x["w0"].bitwiseXOR(y["w0"])))
+    return sum((F.bit_count(x[f"w{c}"].bitwiseXOR(y[f"w{c}"])) for c in range(1, WORDS)), F.bit_count(x["w0"].bitwiseXOR(y["w0"])))
 
 
 def may_be_similar(x: Column, y: Column, share: Fraction) -> Column:
-    """Whether two sketched sets, structs of (n: their size at most, w0, w1, ...), may reach the share; true of all that do."""
+    """Whether two sketched sets, structs of (n: their size, w0, w1, ...), may reach the share; true of all that do."""
     num, den = share.numerator, share.denominator
     # Of sizes that sum up to t, a similarity of num / den leaves t (den - num) / (den + num) runs to one side alone.
     return _odd(x, y) * (num + den) <= (x["n"] + y["n"]) * (den - num)
@@ -109,13 +112,13 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = _lines(df, id_col, text_col)
     keyed = placed.where("NOT _blank").select(*_KEY, "_line")
     signed, path = written_at(_signed(keyed, share, n), "line-signatures")
-    buckets = _buckets(signed)
     lines = written(signed.select("_l", *_KEY), "lines")
-    wanted = buckets.select("_l").distinct()
-    sketched = written(signed.select("_l", *_KEY, "_sk").hint("merge").join(wanted.hint("merge"), "_l"), "line-sketches")
+    buckets = _buckets(signed)
     remove(df.sparkSession, path)
+    wanted = lines.hint("merge").join(buckets.select("_l").distinct().hint("merge"), "_l")
     # The texts of lines that share a bucket with others: a task's copies of a line are combined before they move.
-    texts = written(keyed.hint("merge").join(sketched.select("_l", *_KEY).hint("merge"), _KEY).select("_l", "_line").distinct(), "line-texts")
+    texts = written(keyed.hint("merge").join(wanted.hint("merge"), _KEY).select("_l", "_line").distinct(), "line-texts")
+    sketched = written(_sketched(texts, n), "line-sketches")
     roots = _star(buckets, texts, sketched, share, n)
     roots = _remaining(texts, buckets, sketched, roots, share, n, block_characters)
     named = lines.join(roots, lines["_l"] == roots["node"], "left").select(*_KEY, F.coalesce("root", "_l").alias("_root"))
@@ -129,7 +132,7 @@ def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _signed(keyed: DataFrame, share: Fraction, n: int) -> DataFrame:
-    """(_l, _a, _z, _sk, x0, x1, ..., v0, v1, ...): a number for each distinct line, its sketch, its bands and whole classes, two to a number."""
+    """(_l, _a, _z, x0, x1, ..., v0, v1, ...): a number for each distinct line, its bands and whole classes, two to a number."""
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # All that follows stays where a line's key has put it.
     lines = keyed.repartition(parts, *_KEY).distinct()
@@ -154,8 +157,18 @@ def _signed(keyed: DataFrame, share: Fraction, n: int) -> DataFrame:
 
     occupied = sum((F.bit_count(f"w{c}") for c in range(1, CLASSES)), F.bit_count("w0"))
     few = [F.when(occupied <= WHOLE, F.col(f"v{c}")).otherwise(none).alias(f"v{c}") for c in range(-(-CLASSES // 2))]
-    sketched = F.struct(F.col("_n").alias("n"), *[f"w{c}" for c in range(CLASSES)]).alias("_sk")
-    return signed.select(F.monotonically_increasing_id().alias("_l"), *_KEY, sketched, *[f"x{i}" for i in range(len(_TURNS))], *few)
+    return signed.select(F.monotonically_increasing_id().alias("_l"), *_KEY, *[f"x{i}" for i in range(len(_TURNS))], *few)
+
+
+def _sketched(texts: DataFrame, n: int) -> DataFrame:
+    """(_l, _sk): how many distinct runs each line has, and their parity sketch. A line's runs are combined in the task that has its text."""
+    none = F.lit(0).cast("long")
+    hashes = texts.select("_l", F.explode(runs(F.col("_line"), n)).alias("_h"))
+    # The word comes from a hash's first four bits, the cell from its last six.
+    dealt = hashes.select("_l", F.expr("shiftrightunsigned(_h, 60)").alias("_c"), F.expr("shiftleft(1L, CAST(_h & 63 AS INT))").alias("_cell"))
+    words = [F.bit_xor(F.when(F.col("_c") == c, F.col("_cell")).otherwise(none)).alias(f"w{c}") for c in range(WORDS)]
+    sketches = dealt.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), *words)
+    return sketches.select("_l", F.struct("n", *[f"w{c}" for c in range(WORDS)]).alias("_sk"))
 
 
 def _keys(x: str) -> list[Column]:

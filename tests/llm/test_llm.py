@@ -292,6 +292,26 @@ def test_line_dedup_verifies_the_closest_first(spark, monkeypatch):
     assert found == dict.fromkeys(range(30), 0) and sum(pairs) == 29
 
 
+def test_line_dedup_sketches_leave_few_pairs(spark):
+    """Long lines that are nearly similar, and ones that repeat a few runs, are told apart by their sketches; no similar pair is."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, lines = [word() for _ in range(120)], []
+    for changed in [*[2] * 20, *[16] * 20]:
+        at = set(rng.sample(range(120), changed))
+        lines.append(" ".join(word() if i in at else w for i, w in enumerate(base)))
+    lines += [f"{word()} " * 120 for _ in range(20)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "_l long, _line string")
+    sketched, share = line_dedup._sketched(texts, 5), line_dedup.Fraction(4, 5)
+    x, y = (sketched.select(F.col("_l").alias(k), F.col("_sk").alias(f"{k}s")) for k in "ab")
+    close = x.join(y, F.col("a") < F.col("b")).where(line_dedup.may_be_similar(F.col("as"), F.col("bs"), share))
+    sets = [{v[i : i + 5] for i in range(len(v) - 4)} for v in lines]
+    alike = {(i, j) for j in range(60) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    found = {(r.a, r.b) for r in close.collect()}
+    assert alike and alike <= found and len(found - alike) < 20
+    assert {r._l: r._sk.n for r in sketched.collect()}[45] < 10
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.line_components(odd).count() == odd.count() + 1 and line_dedup.line_components(empty).count() == 0
 
