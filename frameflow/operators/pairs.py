@@ -6,13 +6,12 @@ A row counts where both values are valid. Parameters are those of the rolling mo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import finite
 from ..plans.frames import OWN, Series, check_columns, clean
+from ..plans.ordered import PLACE, Tail, in_order
 from ._apply import Frame, apply, count_rows
 from .rolling import _ddof
 
@@ -97,14 +96,14 @@ def rolling_regression(df, y, window, order_by, partition_by=None, min_periods=N
         gate = clean(m, w(F.count(v)), series.min_periods)
         # Any counter with step 1 has the same moments about its mean as the place in the frame.
         d = m.cast("double")
-        made = regression_columns(d, (d - 1) / 2, w(F.avg(v)), (d * d - 1) / 12, w(F.var_pop(v)), w(F.covar_pop(F.col(PLACE), v)), m >= 2)
+        made = regression_columns(d, (d - 1) / 2, w(F.avg(v)), (d * d - 1) / 12, w(F.var_pop(v)), w(F.covar_pop(F.col(number), v)), m >= 2)
         return {names[k]: F.when(gate, c) for k, c in made.items()}
 
     from ..plans.halo import NUMBER
 
-    PLACE = NUMBER if layout == "halo" else f"{OWN}place"
+    number = NUMBER if layout == "halo" else PLACE
     rows = df if layout == "halo" else df.withColumn(PLACE, F.row_number().over(series.spec()).cast("double"))
-    return apply(rows, series, [y], build, nan_output, layout).drop(f"{OWN}place")
+    return apply(rows, series, [y], build, nan_output, layout).drop(PLACE)
 
 
 def spearman_of_windows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -136,29 +135,28 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def _spearman(x: np.ndarray, y: np.ndarray, w: int, mp: int, chunk: int = 1 << 20) -> np.ndarray:
-    """Rolling Spearman correlation of one ordered series."""
-    n = len(x)
-    out = np.full(n, np.nan)
+def _spearman(joined: list[np.ndarray], place: np.ndarray, w: int, mp: int, chunk: int = 1 << 20) -> np.ndarray:
+    """Rolling Spearman correlation at each place; the columns begin w - 1 rows before the first one."""
+    out, rows = np.full(len(place), np.nan), np.minimum(place, w)
+    x, y = joined
     bad = ~(np.isfinite(x) & np.isfinite(y))
-    for i in range(max(2, mp) - 1, min(w - 1, n)):
-        if not bad[: i + 1].any():
-            out[i] = spearman_of_windows(x[None, : i + 1], y[None, : i + 1])[0]
-    if n >= w >= max(2, mp):
-        step = max(1, chunk // w)
-        wx, wy, wb = (np.lib.stride_tricks.sliding_window_view(v, w) for v in (x, y, bad))
-        for i in range(0, n - w + 1, step):
-            good = np.flatnonzero(~wb[i : i + step].any(axis=1))
-            if len(good):
-                out[i + w - 1 + good] = spearman_of_windows(wx[i : i + step][good], wy[i : i + step][good])
+    for m in np.unique(rows[rows >= max(2, mp)]):
+        wx, wy, wb = (np.lib.stride_tricks.sliding_window_view(v, m) for v in (x, y, bad))
+        at, step = np.flatnonzero(rows == m), max(1, chunk // int(m))
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            first = some + w - m
+            good = ~wb[first].any(axis=1)
+            if good.any():
+                out[some[good]] = spearman_of_windows(wx[first[good]], wy[first[good]])
     return out
 
 
 def rolling_spearman(df, x, y, window, order_by, partition_by=None, min_periods=None, output=None, nan_output=False, layout="series") -> DataFrame:
     """Spearman correlation with average ranks; a side that is all ties gives nothing.
 
-    Ranks inside a frame have no built-in, so each series (with layout "halo": each block of it) is one Arrow batch of an ordered grouped map;
-    "halo" bounds a task's memory whatever the length of a series.
+    Ranks inside a frame have no built-in, so each series (with layout "halo": each block of it) passes through Python in order, in batches; the
+    window - 1 rows before a batch are kept, so a task's memory is bounded whatever the length of a series. "halo" spreads a series over tasks.
     """
     from ..plans.halo import BLOCK, HALO, NUMBER, halo_blocks
 
@@ -166,20 +164,16 @@ def rolling_spearman(df, x, y, window, order_by, partition_by=None, min_periods=
     check_columns(df, [x, y])
     w, mp, a, b = series.window, series.min_periods, f"{OWN}a", f"{OWN}b"
     rows = halo_blocks(df, series) if layout == "halo" else df
-    keys = [*series.partition_by, *([BLOCK] if layout == "halo" else [])]
     rows = rows.withColumn(a, finite(F.col(f"`{x}`"))).withColumn(b, finite(F.col(f"`{y}`")))
-    order = list(series.order_by)
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        found = _spearman(part[a].to_numpy(float), part[b].to_numpy(float), w, mp)
-        return part.assign(**{name: pd.array(np.where(np.isnan(found), None, found), dtype="Float64")})
+    def start():
+        tail = Tail(w - 1, 2)
+        return lambda place, *values: [_spearman(tail.before(values), place, w, mp)]
 
-    out = rows.groupBy(*keys).applyInPandas(run, schema) if keys else rows.groupBy(F.lit(1)).applyInPandas(run, schema)
+    out = in_order(rows, series, [a, b], start, [name], [BLOCK] if layout == "halo" else [])
     if layout == "halo":
         out = out.where(~F.col(HALO))
-    out = out.drop(a, b, BLOCK, NUMBER, HALO)
+    out = out.drop(a, b, PLACE, BLOCK, NUMBER, HALO)
     return out.withColumn(name, F.coalesce(name, F.lit(float("nan")))) if nan_output else out
 
 

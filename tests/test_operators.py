@@ -162,6 +162,34 @@ def test_stream_quantile(spark):
     assert found[3] is None and found[-1] == pytest.approx(np.median(values), rel=0.01)
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Series span many Arrow batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    yield
+    spark.conf.set(key, before)
+
+
+def passes_in_batches(df):
+    """Python gets Arrow batches, not a whole series at once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("mp", [1, MP, W])
+def test_spearman_in_batches(table, data, small_batches, mp):
+    def ranked(a, b):
+        a, b = (pd.Series(v).rank().to_numpy() for v in (a, b))
+        return np.corrcoef(a, b)[0, 1] if len(a) > 1 and a.var() > 0 and b.var() > 0 else math.nan
+
+    two = table.union(table.selectExpr("'r' AS s", "t + 1000", "x", "y", "z"))
+    out = ff.rolling_spearman(two, "x", "y", W, min_periods=mp, output="r", **ORDER)
+    assert passes_in_batches(out)
+    same(column(out), 2 * brute(ranked, data[:2], mp=mp))
+
+
 def test_validation(spark):
     df = series(spark, [1, 2])
     for options in ({"window": 0}, {"window": 2.5}, {"window": True}, {"window": 3, "min_periods": -2}, {"window": 3, "layout": "other"}):
