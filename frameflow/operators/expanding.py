@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import finite
 from ..plans.frames import OWN, Series, check_columns, enough
+from ..plans.ordered import PLACE, in_order
 from ._apply import apply
 from .rolling import _ddof, quantile_level
 
@@ -66,13 +65,13 @@ class StreamQuantile:
 
     def __init__(self, q: float):
         self.q, self.n, self.heights = q, 0, []
-        self.at = np.arange(1.0, 6.0)
-        self.wanted = np.array([1, 1 + 2 * q, 1 + 4 * q, 3 + 2 * q, 5])
-        self.step = np.array([0, q / 2, q, (1 + q) / 2, 1])
+        self.at = [1.0, 2.0, 3.0, 4.0, 5.0]
+        self.wanted = [1.0, 1 + 2 * q, 1 + 4 * q, 3 + 2 * q, 5.0]
+        self.step = [0.0, q / 2, q, (1 + q) / 2, 1.0]
 
     def add(self, x: float) -> None:
         self.n += 1
-        h = self.heights
+        h, at, wanted, step = self.heights, self.at, self.wanted, self.step
         if self.n <= 5:
             h.append(x)
             h.sort()
@@ -82,16 +81,18 @@ class StreamQuantile:
         elif x >= h[4]:
             h[4], cell = x, 3
         else:
-            cell = next(k for k in range(4) if x < h[k + 1])
-        self.at[cell + 1 :] += 1
-        self.wanted += self.step
+            cell = 0 if x < h[1] else 1 if x < h[2] else 2 if x < h[3] else 3
+        for i in range(cell + 1, 5):
+            at[i] += 1
+        for i in (1, 2, 3, 4):
+            wanted[i] += step[i]
         for i in (1, 2, 3):
-            gap = self.wanted[i] - self.at[i]
-            if (gap >= 1 and self.at[i + 1] - self.at[i] > 1) or (gap <= -1 and self.at[i - 1] - self.at[i] < -1):
+            gap = wanted[i] - at[i]
+            if (gap >= 1 and at[i + 1] - at[i] > 1) or (gap <= -1 and at[i - 1] - at[i] < -1):
                 d = 1 if gap > 0 else -1
                 curve = self._parabola(i, d)
-                h[i] = curve if h[i - 1] < curve < h[i + 1] else h[i] + d * (h[i + d] - h[i]) / (self.at[i + d] - self.at[i])
-                self.at[i] += d
+                h[i] = curve if h[i - 1] < curve < h[i + 1] else h[i] + d * (h[i + d] - h[i]) / (at[i + d] - at[i])
+                at[i] += d
 
     def _parabola(self, i: int, d: int) -> float:
         h, (left, here, right) = self.heights, self.at[i - 1 : i + 2]
@@ -102,45 +103,55 @@ class StreamQuantile:
     def value(self) -> float | None:
         if not self.n:
             return None
-        if self.n <= 5:  # few values: their exact quantile
-            return float(np.percentile(self.heights, 100 * self.q)) if self.n < 5 else float(self.heights[2])
-        return float(self.heights[2])
+        if self.n < 5:  # few values: their exact quantile
+            return float(np.percentile(self.heights, 100 * self.q))
+        return self.heights[2]
 
 
-def _stream(df: DataFrame, x: str, keys: list[str], order: list[str], q: float, name: str) -> DataFrame:
-    """Appends the estimate after each row. It depends on all rows before, so a series is one sequential group."""
+def _stream(df: DataFrame, x: str, series: Series, q: float, name: str) -> DataFrame:
+    """Appends the estimate after each row, with the row's PLACE, the valid values so far and how many rows up to this one are valid without a gap.
+
+    It depends on all rows before, so a series is one sequential task; only the estimate's markers are kept between rows.
+    """
     check_columns(df, [x])
     v = f"{OWN}v"
-    rows = df.withColumn(v, finite(F.col(f"`{x}`")))
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{OWN}n", T.LongType())])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        state, found, seen = StreamQuantile(q), [], []
-        for value in part[v].to_numpy(float):
-            if np.isfinite(value):
-                state.add(float(value))
-            found.append(state.value())
-            seen.append(state.n)
-        return part.assign(**{name: found, f"{OWN}n": seen})
+    def start():
+        state, run = StreamQuantile(q), 0
+
+        def step(place: np.ndarray, values: np.ndarray):
+            nonlocal state, run
+            found, seen, runs = [], [], []
+            for at, value in zip(place.tolist(), values.tolist(), strict=True):
+                if at == 1:
+                    state, run = StreamQuantile(q), 0
+                if value == value:
+                    state.add(value)
+                    run += 1
+                else:
+                    run = 0
+                found.append(state.value())
+                seen.append(state.n)
+                runs.append(run)
+            return found, seen, runs
+
+        return step
+
+    return in_order(df.withColumn(v, finite(F.col(f"`{x}`"))), series, [v], start, [name, f"{OWN}n", f"{OWN}run"]).drop(v)
+
 
-    return rows.groupBy(*(keys or [F.lit(1)])).applyInPandas(run, schema).drop(v)
+def _gated(out: DataFrame, gate: Column, name: str, nan_output: bool) -> DataFrame:
+    value = F.when(gate, F.col(f"`{name}`"))
+    return out.withColumn(name, F.coalesce(value, F.lit(float("nan"))) if nan_output else value).drop(PLACE, f"{OWN}n", f"{OWN}run")
 
 
 def expanding_quantile_approx(df, x, order_by, q=0.5, partition_by=None, min_periods=5, output=None, nan_output=False) -> DataFrame:
     """Streaming quantile estimate; exact below five values."""
-    series, name, seen = Series.expanding(order_by, partition_by, min_periods, 5), output or f"expanding_quantile_{x}", F.col(f"{OWN}n")
-    out = _stream(df, x, list(series.partition_by), list(series.order_by), quantile_level(q), name)
-    value = F.when(enough(seen, series.min_periods), F.col(f"`{name}`"))
-    return out.withColumn(name, F.coalesce(value, F.lit(float("nan"))) if nan_output else value).drop(f"{OWN}n")
+    series, name = Series.expanding(order_by, partition_by, min_periods, 5), output or f"expanding_quantile_{x}"
+    return _gated(_stream(df, x, series, quantile_level(q), name), enough(F.col(f"{OWN}n"), series.min_periods), name, nan_output)
 
 
 def stream_quantile(df, x, series: Series, q: float, name: str, nan_output: bool) -> DataFrame:
     """The same estimate behind a rolling frame's gate."""
-    out = _stream(df, x, list(series.partition_by), list(series.order_by), q, name)
-    value = F.col(f"`{name}`")
-    v, w = finite(F.col(f"`{x}`")), series.frame()
-    m = F.count(F.lit(1)).over(w)
-    gate = (F.count(v).over(w) == m) & (m >= series.min_periods)
-    made = F.when(gate, value)
-    return out.withColumn(name, F.coalesce(made, F.lit(float("nan"))) if nan_output else made).drop(f"{OWN}n")
+    m = F.least(F.col(PLACE), F.lit(series.window))
+    return _gated(_stream(df, x, series, q, name), (F.col(f"{OWN}run") >= m) & (m >= series.min_periods), name, nan_output)

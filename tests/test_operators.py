@@ -190,6 +190,27 @@ def test_spearman_in_batches(table, data, small_batches, mp):
     same(column(out), 2 * brute(ranked, data[:2], mp=mp))
 
 
+def test_stream_quantile_in_batches(table, data, small_batches):
+    from frameflow.operators.expanding import StreamQuantile
+
+    state, wanted, gated, run = StreamQuantile(0.5), [], [], 0
+    for i, v in enumerate(data[0]):
+        good = math.isfinite(v)
+        if good:
+            state.add(float(v))
+        run = run + 1 if good else 0
+        wanted.append(state.value() if state.n >= MP else None)
+        gated.append(state.value() if i + 1 >= MP and run >= min(W, i + 1) else None)
+    two = table.union(table.selectExpr("'r' AS s", "t + 1000", "x", "y", "z"))
+    out = ff.expanding_quantile_approx(two, "x", min_periods=MP, output="r", **ORDER)
+    assert passes_in_batches(out)
+    same(column(out), 2 * wanted)
+    with pytest.warns(DeprecationWarning):
+        out = ff.rolling_quantile(two, "x", W, exact=False, min_periods=MP, output="r", **ORDER)
+    assert passes_in_batches(out)
+    same(column(out), 2 * gated)
+
+
 def test_validation(spark):
     df = series(spark, [1, 2])
     for options in ({"window": 0}, {"window": 2.5}, {"window": True}, {"window": 3, "min_periods": -2}, {"window": 3, "layout": "other"}):
