@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frames import OWN, Series
-from ._apply import apply, count_rows
+from ..functions import finite
+from ..plans.frames import OWN, Series, check_columns
+from ..plans.ordered import PLACE, Tail, in_order, moments
+from ._apply import LAYOUTS
 
 #: Regressors that are taken, and how small a pivot beside its diagonal makes the system singular.
 REGRESSORS, PIVOT, TOTAL = (1, 16), 1e-13, 1e-12
@@ -41,49 +42,51 @@ def solve(m: np.ndarray, mean: np.ndarray, cov: np.ndarray, mean_y: np.ndarray,
 def rolling_multiple_regression(df, y, columns, window, order_by, partition_by=None, min_periods=None, output="ols", nan_output=False, layout="series", flatten=False) -> DataFrame:
     """y on the columns and an intercept: struct <output> of coef (intercept first), r2 and residual_std; flatten gives one column for each.
 
-    Moments come from one window operator; a Pandas UDF solves the small systems of a batch of rows together. The frame must be free of
-    invalid values in y and all columns. Singular systems give nothing; residual_std needs a row more than coefficients.
+    A task sees its series in order, in Arrow batches, with the window - 1 rows before each kept: moments are summed over the rows of a batch lag by lag,
+    and its small systems are solved together. The frame must be free of invalid values in y and all columns. Singular systems give nothing;
+    residual_std needs a row more than coefficients.
     """
+    from ..plans.halo import BLOCK, HALO, NUMBER, halo_blocks
+
     columns = list(columns)
     low, high = REGRESSORS
     if not low <= len(columns) <= high:
         raise ValueError(f"{low} to {high} regressors are taken, not {len(columns)}")
-    series, k, moments = Series.rolling(order_by, partition_by, window, min_periods), len(columns), f"{OWN}moments"
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
+    series, k = Series.rolling(order_by, partition_by, window, min_periods), len(columns)
+    check_columns(df, [y, *columns])
+    w, least = series.window, max(series.min_periods, k + 1)
+    rows, extra = (halo_blocks(df, series), [BLOCK]) if layout == "halo" else (df, [])
+    cleaned = [f"{OWN}x{i}" for i in range(k + 1)]
+    results = [*(f"{OWN}b{i}" for i in range(k + 1)), f"{OWN}r2", f"{OWN}std"]
+
+    def start():
+        tail = Tail(w - 1, k + 1)
 
-    def build(cleaned, w):
-        m = count_rows(w)
-        gate = m >= max(series.min_periods, k + 1)
-        for v in cleaned:
-            gate = gate & (w(F.count(v)) == m)
-        target, xs = cleaned[0], cleaned[1:]
-        means = [w(F.avg(v)) for v in (target, *xs)]
-        spread = [w(F.covar_pop(a, b)) for i, a in enumerate(cleaned) for b in cleaned[i:]]
-        return {moments: F.when(gate, F.array(m.cast("double"), *means, *spread))}
+        def step(place: np.ndarray, *values: np.ndarray) -> np.ndarray:
+            m, means, spread = moments(tail.before(values), place, w)
+            out, mean = np.full((k + 3, len(place)), np.nan), np.array(means)
+            at = np.flatnonzero((m >= least) & np.isfinite(mean).all(axis=0))
+            if len(at):
+                full = np.zeros((len(at), k + 1, k + 1))
+                for (i, j), cov in spread.items():
+                    full[:, i, j] = full[:, j, i] = cov[at]
+                ok, coef, r2, std = solve(m[at], mean[1:, at].T, full[:, 1:, 1:], mean[0, at], full[:, 0, 1:], full[:, 0, 0])
+                out[: k + 1, at], out[k + 1, at], out[k + 2, at] = np.where(ok, coef.T, np.nan), r2, std
+            return out
 
-    @F.pandas_udf("coef array<double>, r2 double, residual_std double")
-    def solved(parts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"coef": [None] * len(parts), "r2": np.nan, "residual_std": np.nan})
-        at = np.flatnonzero(parts.notna())
-        if len(at):
-            v = np.stack(parts.iloc[at].to_numpy()).astype(float)
-            full = np.zeros((len(at), k + 1, k + 1))
-            i, j = np.triu_indices(k + 1)
-            full[:, i, j] = full[:, j, i] = v[:, k + 2 :]
-            ok, coef, r2, std = solve(v[:, 0], v[:, 2 : k + 2], full[:, 1:, 1:], v[:, 1], full[:, 0, 1:], full[:, 0, 0])
-            rows = [list(c) if good else None for c, good in zip(coef, ok, strict=True)]
-            out = pd.DataFrame({"coef": pd.Series([None] * len(parts), dtype=object), "r2": np.nan, "residual_std": np.nan})
-            for place, row in zip(at, rows, strict=True):
-                out.at[place, "coef"] = row
-            out.loc[at, "r2"], out.loc[at, "residual_std"] = r2, std
-        return out
+        return step
 
-    out = apply(df, series, [y, *columns], build, False, layout).withColumn(output, solved(F.col(moments))).drop(moments)
-    number = lambda c: F.when(~F.isnan(c), c)
-    held, lost = F.col(f"`{output}`"), F.lit(float("nan")) if nan_output else F.lit(None).cast("double")
-    coef = [F.coalesce(held["coef"][i], lost) for i in range(k + 1)]
-    r2, std = F.coalesce(number(held["r2"]), lost), F.coalesce(number(held["residual_std"]), lost)
+    rows = rows.withColumns({t: finite(F.col(f"`{c}`")) for t, c in zip(cleaned, [y, *columns], strict=True)})
+    out = in_order(rows, series, cleaned, start, results, extra)
+    if layout == "halo":
+        out = out.where(~F.col(HALO))
+    lost = F.lit(float("nan")) if nan_output else F.lit(None).cast("double")
+    *coef, r2, std = [F.coalesce(F.col(c), lost) for c in results]
+    own = [*cleaned, *results, PLACE, BLOCK, NUMBER, HALO]
     if flatten:
         named = {f"{output}_{c}": v for c, v in zip(["intercept", *columns], coef, strict=True)}
-        return out.withColumns(named | {f"{output}_r2": r2, f"{output}_residual_std": std}).drop(output)
-    coefs = F.array(*coef) if nan_output else F.when(held["coef"].isNotNull(), F.array(*coef))
-    return out.withColumn(output, F.struct(coefs.alias("coef"), r2.alias("r2"), std.alias("residual_std")))
+        return out.withColumns(named | {f"{output}_r2": r2, f"{output}_residual_std": std}).drop(*own)
+    coefs = F.array(*coef) if nan_output else F.when(F.col(results[0]).isNotNull(), F.array(*coef))
+    return out.withColumn(output, F.struct(coefs.alias("coef"), r2.alias("r2"), std.alias("residual_std"))).drop(*own)
