@@ -148,11 +148,11 @@ def _pair_sql(a: str, b: str) -> str:
 
 
 _PAIRS = [(a, b) for i, a in enumerate("xyzt") for b in "xyzt"[i + 1 :]]
-_add("rolling_corr_pairs", "items", lambda df, **o: op.rolling_corr_pairs(df, ["x", "y", "z", "t"], W, min_periods=HALF, **o), [f"corr_{a}_{b}" for a, b in _PAIRS], {f"corr_{a}_{b}": _pair_sql(a, b) for a, b in _PAIRS})
+_add("rolling_corr_pairs", "items", lambda df, **o: op.rolling_corr_pairs(df, ["x", "y", "z", "t"], W, min_periods=HALF, layout="batches", **o), [f"corr_{a}_{b}" for a, b in _PAIRS], {f"corr_{a}_{b}": _pair_sql(a, b) for a, b in _PAIRS})
 
 
 def _matrix(df: DataFrame, **o) -> DataFrame:
-    out = op.rolling_corr_matrix(df, ["x", "y", "z"], W, min_periods=HALF, output="m", **o)
+    out = op.rolling_corr_matrix(df, ["x", "y", "z"], W, min_periods=HALF, layout="batches", output="m", **o)
     return out.withColumns({f"m{i}{j}": F.col("m")[i][j] for i in range(3) for j in range(3)})
 
 

@@ -211,6 +211,32 @@ def test_stream_quantile_in_batches(table, data, small_batches):
     same(column(out), 2 * gated)
 
 
+@pytest.mark.parametrize("mp", [1, MP, W])
+def test_correlations_in_batches(table, small_batches, mp):
+    """As the window operator gives them, over series that span batches and batches that span series, but without it going over frames."""
+    two = table.union(table.selectExpr("'r' AS s", "t + 1000", "x", "y", "z"))
+    names, opts = ["x", "y", "z"], {"min_periods": mp, **ORDER}
+    pairs, wanted = (ff.rolling_corr_pairs(two, names, W, layout=layout, **opts) for layout in ("batches", "series"))
+    assert passes_in_batches(pairs) and "covar_pop" not in pairs._jdf.queryExecution().executedPlan().toString()
+    for c in ("corr_x_y", "corr_x_z", "corr_y_z"):
+        same(column(pairs, c), column(wanted, c))
+    matrix, wanted = (column(ff.rolling_corr_matrix(two, names, W, layout=layout, nan_output=True, output="r", **opts)) for layout in ("batches", "series"))
+    assert np.array(matrix) == pytest.approx(np.array(wanted), abs=1e-8, nan_ok=True)
+
+
+@pytest.mark.parametrize("layout", ["series", "halo"])
+def test_multiple_regression_in_batches(table, data, small_batches, layout):
+    def slope(a, b, c):
+        x = np.c_[np.ones(len(a)), a, b]
+        return np.linalg.lstsq(x, c, rcond=None)[0][1] if np.linalg.matrix_rank(x) == 3 else math.nan
+
+    two = table.union(table.selectExpr("'r' AS s", "t + 1000", "x", "y", "z"))
+    out = ff.rolling_multiple_regression(two, "y", ["x", "z"], W, min_periods=MP, output="r", flatten=True, layout=layout, **ORDER)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert passes_in_batches(out) and "covar_pop" not in plan
+    same(column(out, "r_x"), 2 * brute(slope, [data[0], data[2], data[1]]))
+
+
 def test_validation(spark):
     df = series(spark, [1, 2])
     for options in ({"window": 0}, {"window": 2.5}, {"window": True}, {"window": 3, "min_periods": -2}, {"window": 3, "layout": "other"}):
